@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a few MB at a time, whatever their length, so that no task buffers many of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -27,6 +33,7 @@ def materialise(df: DataFrame) -> DataFrame:
     twice. The shuffle files of the finished step are released at once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/lacuna-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
