@@ -103,10 +103,12 @@ def shingles(hashes: np.ndarray, per: np.ndarray, size: int = 5) -> tuple[np.nda
     tail = np.minimum(size - 1, per)
     cut = np.repeat(ends - tail, tail) + (np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail))
     valid[cut] = False
-    for d in np.flatnonzero(short & (per > 0)):
-        a, b = starts[d], ends[d]
-        valid[a] = True
-        with np.errstate(over="ignore"):
-            rolled[a] = (hashes[a:b] * q[: b - a]).sum() + q[size] * U(b - a)
+    few = np.flatnonzero(short & (per > 0))
+    if len(few):
+        some = np.repeat(starts[few], per[few])
+        begin = np.cumsum(per[few]) - per[few]
+        inside = np.arange(len(some)) - np.repeat(begin, per[few])
+        valid[starts[few]] = True
+        rolled[starts[few]] = np.add.reduceat(hashes[some + inside] * q[inside], begin) + q[size] * per[few].astype(np.uint64)
     count = np.where(short, np.minimum(per, 1), per - size + 1)
     return mix(rolled[valid]), count

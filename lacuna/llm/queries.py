@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, fingerprint, mixing, near_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,73 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """,
 }
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, no source beyond twice its size."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_mixing"] = op10_mixing
+ORACLES["op10_mixing"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, source,
+  md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM s0),
+s2 AS (SELECT *, CAST([3, 1, 2][(src - 1) % 3 + 1] AS DOUBLE) AS w, n * 2.0 AS most FROM s1),
+s3 AS (SELECT *, most / w AS ratio, (1.5 * sum(n) OVER () - (sum(most) OVER (ORDER BY most / w, src) - most))
+  / sum(w) OVER (ORDER BY most / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+l AS (SELECT (SELECT level FROM s3 WHERE level <= ratio ORDER BY ratio, src LIMIT 1) AS level),
+s4 AS (SELECT s3.* EXCLUDE (level), coalesce(least(most, w * l.level), most) AS target FROM s3, l),
+s5 AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota,
+  CASE WHEN target > 0 THEN CAST(ceil(target) AS BIGINT) + 2048 ELSE 0 END AS part FROM s4),
+s6 AS (SELECT *, CAST(sum(part) OVER (ORDER BY src) AS BIGINT) AS top, CAST(sum(part) OVER () AS BIGINT) AS tot FROM s5),
+s AS (SELECT *, CAST(floor(CAST(top - part AS DOUBLE) / tot * 2147483648.0) AS BIGINT) AS low,
+  CAST(floor(CAST(top AS DOUBLE) / tot * 2147483648.0) AS BIGINT) AS high FROM s6),
+slots AS (SELECT i, ((i % 2147483648) * 1327217885) % 2147483648 AS p FROM
+  (SELECT unnest(range((SELECT CAST(ceil(max(tot) / 256.0) AS BIGINT) FROM s))) AS i)),
+ranked AS (SELECT s.src, row_number() OVER (PARTITION BY s.src ORDER BY i) - 1 AS r FROM slots JOIN s ON p >= low AND p < high),
+most AS (SELECT src, count(*) AS slots FROM ranked GROUP BY src),
+docs AS (SELECT d.*, s.src, s.n, s.target, least(s.quota, coalesce(m.slots, 0) * 256) AS quota,
+  sum(size) OVER (PARTITION BY s.src ORDER BY k ROWS UNBOUNDED PRECEDING) - size AS a
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN most m ON m.src = s.src)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, source,
+  CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(n + a + size, quota) - (n + a)) AS BIGINT) AS taken
+FROM docs
+"""
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of all documents without bytes in repeated strings of 400 bytes."""
+    return substring_dedup.repeat_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of all pages."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of the benchmark that documents hold."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op4_fingerprint": op4_fingerprint, "op5_substring_dedup": op5_substring_dedup, "op6_url_filter": op6_url_filter, "op7_decontaminate": op7_decontaminate}
+ORACLES["op6_url_filter"] = """
+WITH r(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+b(host) AS (VALUES ('ads-track.example.com'), ('adult-x.example.net'), ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com'), ('spam-farm.example.com')),
+u AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT id, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT p.id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.id)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict,
+  CASE WHEN EXISTS (SELECT 1 FROM b WHERE p.host = b.host OR ends_with(p.host, '.' || b.host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f USING (id)
+"""
