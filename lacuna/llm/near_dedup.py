@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import drop, has_rows, materialise
+from ._store import has_rows, materialise
 from .components import connected_components
 
 BANDS, ROWS = 48, 5
@@ -74,110 +74,147 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "members"])
 
 
+def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, code, code), the pairs whose signatures agree in ``least`` minima."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+        near = pa.array((x == y).sum(axis=1) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+
+
+def _similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return denominator * common >= numerator * (len(both) - common)
+
+
 def _verify(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = denominator * common >= numerator * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(keep)], ["a", "b", "linked"])
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), numerator, denominator) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
-def verify_links(pairs: DataFrame, docs: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:
-    """(a, b, linked) for pairs of representatives, from the full shingle sets of both."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"))
-    left = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long, linked boolean")
-
+def _units(rows: DataFrame, payload: list[str], block: int = 1024) -> DataFrame:
+    """Deal rows (key, rep, label, ...) so that all of a key meet, but for two of its most frequent label.
 
-def _unit_pairs(batches: Iterator[pa.RecordBatch], least: int, numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within a unit (two blocks of a bucket) that agree in ``least`` minima."""
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        rep, comp, size, block = (t.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block"))
+    Rows of other labels (side 0) are cut into blocks, and so are all rows of the key (side 1); every two
+    blocks meet in a unit of at most about 2 * ``block`` rows. Where nearly all rows of a large key bear
+    one label, as after linking them to one of them, each is sent on to few units. Keys with a single
+    label go.
+    """
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    keys = keys.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("xs"), F.ceil(F.col("n") / block).alias("ys"))
+    at = rows.join(keys, "key")
+    x, y = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("xs")), F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("ys"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    some = at.where("label <> top").select("key", x.alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "rep", "label", *payload)
+    most = at.select("key", every("xs").alias("x"), y.alias("y"), F.lit(1).alias("side"), "rep", "label", *payload)
+    return some.unionByName(most).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _across(least: int, numerator: int, denominator: int):
+    """Links between different labels of a unit, as many as join them: by signature, and by sets where given."""
+
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, label, size, side = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "side"))
         code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
-        across = t.column("lo")[0] != t.column("hi")[0]
-        for i in range(0, len(rep), 32):
-            j = slice(i, i + 32)
-            ok = (comp[j, None] != comp[None]) & (rep[j, None] > rep[None])
-            ok &= denominator * np.minimum(size[j, None], size[None]) >= numerator * np.maximum(size[j, None], size[None])
-            if across:
-                ok &= block[j, None] != block[None]
+        sets = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()] if "members" in t.column_names else None
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (up := root.get(v, v)) != v:
+                root[v] = v = root.get(up, up)
+            return v
+
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[tuple[int, int]] = []
+        for i in range(0, len(left), 32):
+            l = left[i : i + 32]
+            ok = label[l, None] != label[None, right]
+            ok &= denominator * np.minimum(size[l, None], size[None, right]) >= numerator * np.maximum(size[l, None], size[None, right])
             x, y = np.nonzero(ok)
-            for at in range(0, len(x), 1 << 15):
-                u, v = x[at : at + (1 << 15)] + i, y[at : at + (1 << 15)]
-                near = (code[u] == code[v]).sum(axis=1) >= least
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[u[near]]), pa.array(rep[v[near]])], ["a", "b"])
+            for at in range(0, len(x), 1 << 14):
+                u, v = l[x[at : at + (1 << 14)]], right[y[at : at + (1 << 14)]]
+                common = (code[u] == code[v]).sum(axis=1)
+                for k in np.argsort(-common, kind="stable"):
+                    if common[k] < least:
+                        break
+                    a, b = find(int(label[u[k]])), find(int(label[v[k]]))
+                    if a != b and (sets is None or _similar(sets[u[k]], sets[v[k]], numerator, denominator)):
+                        root[max(a, b)] = min(a, b)
+                        out.append((int(rep[u[k]]), int(rep[v[k]])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    rest = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        band, lo, hi = (t.column(c).to_numpy() for c in ("band", "lo", "hi"))
-        cuts = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            yield from pairs(t.slice(a, b - a))
-        rest = t.slice(cuts[-1])
-    if rest is not None and rest.num_rows:
-        yield from pairs(rest)
-
-
-def _missed(members: DataFrame, classes: DataFrame, cc: DataFrame, tested: DataFrame, least: int, numerator: int, denominator: int, block_rows: int = 1024) -> DataFrame:
-    """Pairs of a bucket that the links to its pivot left in different components, to be verified too.
-
-    Buckets with equal members count once. A bucket is cut into blocks of about ``block_rows`` and every
-    two blocks meet in a unit of their own, so no task holds a whole large bucket; only pairs whose
-    signatures nearly agree leave a unit.
-    """
-    at = members.join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("x < y")
-    once = mixed.groupBy("n", "same").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / block_rows).alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("blocks"))
-    units = at.join(once, "band").join(classes.select("rep", "n_shingles", "code"), "rep").withColumn("block", block)
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "component", "n_shingles", "block", "code")
-    found = units.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(lambda it: _unit_pairs(it, least, numerator, denominator), "a long, b long")
-    return found.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from links(t.slice(a, b - a))
+            rest = t.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from links(rest)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numerator: int = 75, denominator: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string).
 
     Documents with equal shingle sets form a class, whose smallest doc_id stands for it. ``bands`` x
-    ``rows`` minima are banded; every class meets the smallest one of each of its buckets, and whatever a
-    bucket still holds apart is compared by whole signatures, block by block. Every link is confirmed on
-    the full sets: denominator * intersection >= numerator * union. A pair at the threshold of 0.75
-    shares no bucket with probability (1 - 0.75**5)**48 = 2e-6.
+    ``rows`` minima are banded. Signatures of a bucket's classes are compared with that of its smallest
+    one, and what differs from that with all of the bucket. Pairs that nearly agree are confirmed on the
+    full sets: denominator * intersection >= numerator * union. Where that leaves a cluster of such pairs
+    in several components, those outside its largest component are compared with all of the cluster,
+    again on full sets. A pair at the threshold of 0.75 shares no bucket with probability
+    (1 - 0.75**5)**48 = 2e-6, and falls short of the signature test, 5.5 standard deviations below, with 2e-8.
 
     Null, empty and blank texts: set size 0, own component, kept. Null doc_id: never linked, component
     null, kept. Repeated doc_ids: one node; all their texts share its component. Empty table: no rows.
     Other columns of ``docs`` are ignored.
     """
+    count, share = bands * rows, numerator / denominator
+    least = int(count * share - 5.5 * (count * share * (1 - share)) ** 0.5)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, code binary"))
     keyed = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")))
     buckets = classes.select("rep", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(buckets.join(shared, "band").select("band", "rep", "pivot"))
-    tested = materialise(verify_links(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), docs, numerator, denominator))
+    shared = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("n > 1")
+    once = shared.groupBy("n", "same").agg(F.min("band").alias("band"), F.min("pivot").alias("pivot")).select("band", "pivot")
+    members = materialise(buckets.join(once, "band").select("band", "rep", "pivot"))
+
+    codes = classes.select("rep", "code")
+    star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = star.join(codes.select(F.col("rep").alias("a"), F.col("code").alias("x")), "a").join(codes.select(F.col("rep").alias("b"), F.col("code").alias("y")), "b")
+    near = materialise(star.select("a", "b", "x", "y").mapInArrow(lambda it: _agree(it, least), "a long, b long"))
+    label = F.when(F.col("agrees"), F.col("pivot")).otherwise(F.col("rep"))
+    labelled = members.join(near.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("agrees")), ["rep", "pivot"], "left").select(F.col("band").alias("key"), "rep", label.alias("label"))
+    payload = ["n_shingles", "code"]
+    rest = _units(labelled.join(classes.select("rep", *payload), "rep"), payload).mapInArrow(_across(least, numerator, denominator), "a long, b long")
+    pairs = materialise(near.unionByName(rest).distinct())
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"))
+    left, right = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
+    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"))
     named = keyed.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     split = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id").join(named, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    cc = materialise(connected_components(tested.where("linked").select("a", "b").unionByName(split)))
-    count = bands * rows
-    floor = numerator / denominator
-    least = int(count * floor - 5.5 * (count * floor * (1 - floor)) ** 0.5)
-    more = materialise(verify_links(materialise(_missed(members, classes, cc, tested, least, numerator, denominator)), docs, numerator, denominator).where("linked").select("a", "b"))
+    cc = materialise(connected_components(links.unionByName(split)))
+    cluster = materialise(connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("key")))
+    apart = cluster.join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    full = apart.join(classes.select("rep", *payload), "rep").join(sets, "rep")
+    more = materialise(_units(full, [*payload, "members"]).mapInArrow(_across(least, numerator, denominator), "a long, b long"))
     if has_rows(more):
         cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b")))))
     place = classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
