@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import chat, decontaminate, fingerprint, licenses, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,3 +121,44 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence digests of all documents."""
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations as canonical JSON messages."""
+    return chat.format_chat(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES |= {"op2_license_scan": op2_license_scan, "op3_chat": op3_chat}
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    words = rf"regexp_replace(' ' || regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') || ' ', ' *\n *', chr(32) || chr(10) || chr(32), 'g')"
+    for a, b in licenses.SPELLINGS:
+        words = f"replace({words}, ' {a} ', ' {b} ')"
+    return f"list_filter(list_transform(string_split({words}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(copyright( c)? [0-9]|c [0-9]{{4}}|all rights reserved)'))"
+
+
+ORACLES["op2_license_scan"] = f"""
+WITH k(license, text) AS (VALUES {", ".join(f"({_literal(i)}, {_literal(t)})" for i, t in licenses.KNOWN)}),
+known AS (SELECT sha256(b) AS digest, min(license) AS license FROM (SELECT license, array_to_string({_canonical("text")}, ' ') AS b FROM k) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS id, doc_id, {_canonical("coalesce(text, '')")} AS lines FROM documents),
+n AS (SELECT id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT id, unnest(lines) AS line FROM d) JOIN known ON digest = sha256(line) GROUP BY id)
+SELECT d.doc_id, sha256(array_to_string(d.lines, ' ')) AS digest, known.license, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN known ON known.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN n USING (id)
+"""
+
+# The conversations hold no tool calls; linking is tested on fixtures.
+ORACLES["op3_chat"] = """
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+  CAST(NULL AS BIGINT) AS linked_turn, 'ok' AS status, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS message
+FROM conversations
+"""
