@@ -234,7 +234,8 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     docs = _keyed(docs)
     placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram), "h long, c long, id long, dk long, pos long"))
     shared = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("multi"))
-    copies = materialise(placed.join(shared, "h"))
+    # written first: a join of two plain exchanges lets Spark split the tasks of a very common anchor
+    copies = materialise(placed.join(materialise(shared), "h"))
     drop(placed)
     reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", "pos")).alias("r"), F.count("*").alias("n"))
     chunks = reps.groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
