@@ -110,7 +110,7 @@ def _units(rows: DataFrame, payload: list[str], block: int = 1024) -> DataFrame:
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     keys = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
     keys = keys.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("xs"), F.ceil(F.col("n") / block).alias("ys"))
-    at = rows.join(keys, "key")
+    at = rows.join(materialise(keys), "key")
     x, y = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("xs")), F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("ys"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     some = at.where("label <> top").select("key", x.alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "rep", "label", *payload)
