@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column expressions that Catalyst plans like its own."""

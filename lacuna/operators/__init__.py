@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators on grids held as rows of cells."""

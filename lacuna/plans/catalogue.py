@@ -1,6 +1,8 @@
-"""All queries on the driver's tables, by name, each with the DuckDB SQL of the same result."""
+"""All queries on the driver's tables, by name, each with the DuckDB SQL of the same result where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import grid_queries
+
+QUERIES: dict = {**grid_queries.QUERIES}
+ORACLES: dict = {**grid_queries.ORACLES}
