@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grid_queries, match_queries, system_queries
+from . import grid_queries, match_queries, sim_queries, system_queries
 
-QUERIES: dict = {**grid_queries.QUERIES, **match_queries.QUERIES, **system_queries.QUERIES}
+QUERIES: dict = {**grid_queries.QUERIES, **match_queries.QUERIES, **system_queries.QUERIES, **sim_queries.QUERIES}
 ORACLES: dict = {**grid_queries.ORACLES, **match_queries.ORACLES, **system_queries.ORACLES}
