@@ -79,7 +79,7 @@ class Index:
         hit = np.repeat(self.first[u], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item = self.item[hit]
         width = self.edits[item] + 1
-        band = (np.repeat(at, n) - self.place[hit] + self.longest) // width
+        band = (np.repeat(at, n) - self.place[hit]) // width + self.longest // width + 1
         key, count = np.unique(item << 40 | band, return_counts=True)
         # a match may lie astride two bands: count each band with the one after it, and the first also with the one before
         follows = np.zeros(len(key), bool)
@@ -88,7 +88,8 @@ class Index:
         both[:-1] += np.where(follows[:-1], count[1:], 0)
         keep = both >= self.least[key >> 40]
         item, band = key[keep] >> 40, key[keep] & ((1 << 40) - 1)
-        return item, band * (self.edits[item] + 1) - self.longest
+        width = self.edits[item] + 1
+        return item, (band - self.longest // width - 1) * width
 
 
 def distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int:

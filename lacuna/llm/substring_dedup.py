@@ -151,14 +151,14 @@ def repeated(strings: list[bytes], left: np.ndarray, group: np.ndarray, size: in
 
 def _repeats(size: int, gram: int, most: int):
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    gap = pa.list_(pa.struct([("a", pa.int32()), ("w", pa.int64())]))
+    gap = pa.list_(pa.struct([("a", pa.int32()), ("w", pa.int64()), ("n", pa.int32())]))
 
     def unit(h: list, c: list, chunk: list, left: list, strings: list) -> pa.RecordBatch:
         same = np.array([(x != y) or (k != z) for x, y, k, z in zip(h[1:], h, chunk[1:], chunk)], bool)
         left = np.array(left)
         many, left = left % 2 == 1, left // 2
         found = repeated(strings, left, np.concatenate([[0], np.cumsum(same)]), size, gram)
-        spans, gaps = [], []
+        spans, gaps, told = [], [], set()
         for j, s in enumerate(strings):
             lo = size - gram - left[j]
             valid = slice(lo, lo + len(s) - size + 1)
@@ -166,13 +166,17 @@ def _repeats(size: int, gram: int, most: int):
                 found[j, valid] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[0], found[j].view(np.int8), [0]])))
             spans.append([{"a": int(x - size + gram), "b": int(y - 1 - size + gram)} for x, y in zip(edge[::2], edge[1::2])])
-            open_ = np.flatnonzero(~found[j, valid]) if chunk[j] >= 0 else ()
-            if len(open_):
+            rows = []
+            if chunk[j] >= 0:  # other units hold the same anchor: tell them of every different string once
                 total = _prefix(np.frombuffer(s, np.uint8))
-                w = _text.mix((total[open_ + size] - total[open_]) * _text.powers(_text.INVERSE, len(s) + 1)[open_]).view(np.int64)
-                gaps.append([{"a": int(x - left[j]), "w": int(y)} for x, y in zip(open_, w)])
-            else:
-                gaps.append([])
+                at = np.arange(len(s) - size + 1)
+                w = _text.mix((total[at + size] - total[at]) * _text.powers(_text.INVERSE, len(s) + 1)[at]).view(np.int64)
+                for x, y, seen in zip((at - left[j]).tolist(), w.tolist(), found[j, valid].tolist(), strict=True):
+                    if not seen or (h[j], x, y) not in told:
+                        rows.append({"a": x, "w": y, "n": 2 if seen else 1})
+                    if seen:
+                        told.add((h[j], x, y))
+            gaps.append(rows)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(spans, span), pa.array(gaps, gap)], ["h", "c", "spans", "gaps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +232,8 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     """id, dk, n_removed, n_spans, kept_sha256, kept (bytes) of every document that loses a byte.
 
     ``id`` is the doc_id (null: -2**63) and ``dk`` a digest of id and text, see :func:`with_digest`.
-    Contexts that share an anchor but exceed ``unit`` are dealt to several units; the strings that no
-    unit finds to repeat are then counted by digest over all units, so nothing is lost.
+    Contexts that share an anchor but exceed ``unit`` are dealt to several units; every unit then
+    tells its different strings by digest, and one that any other has, too, repeats; so nothing is lost.
     """
     docs = _keyed(docs)
     placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram), "h long, c long, id long, dk long, pos long"))
@@ -245,12 +249,12 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     contexts = texts.where("reps is not null").select("text", "reps").mapInArrow(_contexts(size, gram), "h long, c long, chunk long, left long, bytes binary")
     contexts = contexts.repartition("h", "chunk").sortWithinPartitions("h", "chunk", "c").select("h", "c", "chunk", "left", "bytes")
     spans = "array<struct<a:int,b:int>>"
-    hits = materialise(contexts.mapInArrow(_repeats(size, gram, unit), f"h long, c long, spans {spans}, gaps array<struct<a:int,w:long>>"))
+    hits = materialise(contexts.mapInArrow(_repeats(size, gram, unit), f"h long, c long, spans {spans}, gaps array<struct<a:int,w:long,n:int>>"))
     ranges = hits.select("h", "c", "spans")
     gaps = hits.where(F.size("gaps") > 0).select("h", "c", F.inline("gaps"))
     if has_rows(gaps):
-        twice = gaps.groupBy("h", "a", "w").agg(F.count("*").alias("n")).where("n > 1")
-        late = gaps.join(twice, ["h", "a", "w"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("a"), F.col("a").alias("b"))).alias("late"))
+        twice = gaps.groupBy("h", "a", "w").agg(F.sum("n").alias("times")).where("times > 1")
+        late = gaps.where("n = 1").join(twice, ["h", "a", "w"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("a"), F.col("a").alias("b"))).alias("late"))
         ranges = ranges.join(late, ["h", "c"], "left").select("h", "c", F.concat("spans", F.coalesce("late", F.array().cast(spans))).alias("spans"))
     ranges = ranges.where(F.size("spans") > 0).withColumn("multi", F.lit(True))
     places = copies.join(ranges, ["h", "c", "multi"], "left").where("not multi or spans is not null")
@@ -285,11 +289,12 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
 
     Rows stay as they are where nothing repeats; a row of which nothing is left keeps an empty text.
     """
-    cut = materialise(cut_repeats(docs, size, gram).where("n_removed > 0").select("id", "dk", "kept").dropDuplicates(["id", "dk"]))
-    out = with_digest(docs).join(cut, (F.col("_id") == F.col("id")) & (F.col("_dk") == F.col("dk")), "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    text = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    out = out.withColumn("text", text)
+    cut = cut_repeats(docs, size, gram).where("n_removed > 0").select("id", "dk", "kept").dropDuplicates(["id", "dk"])
+    cut = materialise(cut.toDF("_cut_id", "_cut_dk", "_cut_text"))
+    out = with_digest(docs).join(cut, (F.col("_id") == F.col("_cut_id")) & (F.col("_dk") == F.col("_cut_dk")), "left")
+    rest = F.make_valid_utf8(F.col("_cut_text").cast("string"))
+    same = F.col("_cut_text").isNull()
+    out = out.withColumn("text", F.when(same, F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
