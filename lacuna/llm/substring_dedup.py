@@ -93,7 +93,12 @@ def _anchors(size: int, gram: int, most: int = 1 << 20):
                         own = (first + lo >= s) & (first + lo < s + most)
                         found.append((p[own] + lo, h[own], c[own], np.full(own.sum(), a)))
                 for p, h, c, doc in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(ids[doc]), pa.array(keys[doc]), pa.array(p)], ["h", "c", "id", "dk", "pos"])
+                    # equal contexts of one document, as in text that repeats itself, are one row with all places
+                    order = np.lexsort((p, c, h, doc))
+                    p, h, c, doc = p[order], h[order], c[order], doc[order]
+                    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])])) if len(p) else np.zeros(0, np.int64)
+                    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), pa.array(p, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(c[first]), pa.array(ids[doc[first]]), pa.array(keys[doc[first]]), places], ["h", "c", "id", "dk", "pos"])
 
     return run
 
@@ -205,11 +210,11 @@ def _cut(size: int, gram: int):
                 text = data[offsets[d] : offsets[d + 1]]
                 step = np.zeros(len(text) + 1, np.int32)
                 for x in places:
-                    pos = x["pos"]
-                    whole = [{"a": max(-pos, gram - size), "b": min(0, len(text) - pos - size)}]
-                    for s in x["spans"] if x["multi"] else whole:
-                        step[pos + s["a"]] += 1
-                        step[pos + s["b"] + size] -= 1
+                    for pos in x["pos"]:
+                        whole = [{"a": max(-pos, gram - size), "b": min(0, len(text) - pos - size)}]
+                        for s in x["spans"] if x["multi"] else whole:
+                            step[pos + s["a"]] += 1
+                            step[pos + s["b"] + size] -= 1
                 gone = np.cumsum(step[:-1]) > 0
                 rest = text[~gone].tobytes()
                 removed.append(int(gone.sum()))
@@ -228,20 +233,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(id_.alias("id"), F.xxhash64(id_, text).alias("dk"), text.alias("text"))
 
 
-def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int = 4096) -> DataFrame:
-    """id, dk, n_removed, n_spans, kept_sha256, kept (bytes) of every document that loses a byte.
+def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int = 4096, with_text: bool = True) -> DataFrame:
+    """id, dk, n_removed, n_spans, kept_sha256 and, ``with_text``, kept (bytes) of every document that loses a byte.
 
     ``id`` is the doc_id (null: -2**63) and ``dk`` a digest of id and text, see :func:`with_digest`.
     Contexts that share an anchor but exceed ``unit`` are dealt to several units; every unit then
     tells its different strings by digest, and one that any other has, too, repeats; so nothing is lost.
     """
     docs = _keyed(docs)
-    placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram), "h long, c long, id long, dk long, pos long"))
-    shared = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("multi"))
+    placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram), "h long, c long, id long, dk long, pos array<long>"))
+    shared = placed.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("multi"))
     # written first: a join of two plain exchanges lets Spark split the tasks of a very common anchor
     copies = materialise(placed.join(materialise(shared), "h"))
     drop(placed)
-    reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", "pos")).alias("r"), F.count("*").alias("n"))
+    reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", F.element_at("pos", 1).alias("pos"))).alias("r"), F.sum(F.size("pos")).alias("n"))
     chunks = reps.groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
     reps = reps.join(chunks, "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
     touched = copies.select("id", "dk").distinct().join(reps, ["id", "dk"], "left")
@@ -259,7 +264,11 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     ranges = ranges.where(F.size("spans") > 0).withColumn("multi", F.lit(True))
     places = copies.join(ranges, ["h", "c", "multi"], "left").where("not multi or spans is not null")
     places = places.groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "multi", "spans")).alias("places"))
-    return texts.select("id", "dk", "text").join(places, ["id", "dk"]).mapInArrow(_cut(size, gram), "id long, dk long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = texts.select("id", "dk", "text").join(places, ["id", "dk"]).mapInArrow(_cut(size, gram), "id long, dk long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = materialise((cut if with_text else cut.drop("kept")).where("n_removed > 0").dropDuplicates(["id", "dk"]))
+    for done in (copies, texts, hits):
+        drop(done)
+    return cut
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -276,7 +285,7 @@ def repeat_report(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     empty, a text below ``size`` bytes loses nothing, repeated rows are copies of each other and get equal
     results, an empty table gives no rows, and other columns are ignored.
     """
-    cut = materialise(cut_repeats(docs, size, gram).drop("kept").dropDuplicates(["id", "dk"]))
+    cut = cut_repeats(docs, size, gram, with_text=False)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = with_digest(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "_id", "_dk", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     out = every.join(cut, (F.col("_id") == F.col("id")) & (F.col("_dk") == F.col("dk")), "left")
@@ -289,8 +298,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
 
     Rows stay as they are where nothing repeats; a row of which nothing is left keeps an empty text.
     """
-    cut = cut_repeats(docs, size, gram).where("n_removed > 0").select("id", "dk", "kept").dropDuplicates(["id", "dk"])
-    cut = materialise(cut.toDF("_cut_id", "_cut_dk", "_cut_text"))
+    cut = cut_repeats(docs, size, gram).select(F.col("id").alias("_cut_id"), F.col("dk").alias("_cut_dk"), F.col("kept").alias("_cut_text"))
     out = with_digest(docs).join(cut, (F.col("_id") == F.col("_cut_id")) & (F.col("_dk") == F.col("_cut_dk")), "left")
     rest = F.make_valid_utf8(F.col("_cut_text").cast("string"))
     same = F.col("_cut_text").isNull()
