@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import has_rows, materialise
+from ._store import drop, has_rows, materialise
 from .components import connected_components
 
 BANDS, ROWS = 48, 5
@@ -217,17 +217,24 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     more = materialise(_units(full, [*payload, "members"]).mapInArrow(_across(least, numerator, denominator), "a long, b long"))
     if has_rows(more):
         cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    place = classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    place = materialise(classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")))
     linkable = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(True))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2", linkable.alias("linkable")).join(place.withColumn("linkable", F.lit(True)), ["k1", "k2", "linkable"], "left")
+    small = materialise(signed.select("doc_id", "n_shingles", "k1", "k2", linkable.alias("linkable")))
+    for done in (signed, classes, members, near, pairs, sets, links, cluster, more, cc):
+        drop(done)
+    out = small.join(place.withColumn("linkable", F.lit(True)), ["k1", "k2", "linkable"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each doc_id; null doc_ids stay."""
-    ids = materialise(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(ids.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if has_rows(again := ids.where("n > 1")):
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each doc_id; null doc_ids stay.
+
+    Only the ids that go are joined, and those of which several rows stay.
+    """
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.when(F.col("kept"), 1)).alias("n"), F.count("*").alias("rows"))
+    ids = materialise(ids.where("n <> 1 or rows <> 1"))
+    out = docs.join(ids, "doc_id", "left_anti")
+    if has_rows(again := ids.where("n >= 1")):
         out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(docs.columns)
