@@ -53,7 +53,7 @@ def format_chat(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str,
 
     ``message`` is canonical JSON: keys in order, no white space, arguments with keys in order.
     ``status`` is ok; for calls: no_result where some call has none, invalid with the arguments' errors;
-    for results: orphan. Null text: content null. Null conv_id or identifier: never linked. Rows with
+    for results: orphan. Null text: content null. Null conv_id or identifier: never linked, and no result is missed. Rows with
     equal conv_id and turn (and repeated rows) keep an order by role and text. Empty table: no rows.
     Other columns are ignored. A long conversation is never in one task: positions are counted in
     segments of ``SEGMENT`` turns.
