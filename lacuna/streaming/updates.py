@@ -38,7 +38,7 @@ def progress(messages: DataFrame) -> DataFrame:
 def tail(spark: SparkSession, folder: str) -> DataFrame:
     """Log lines of all jobs as they are appended, with the job's name from the file."""
     lines = spark.readStream.text(folder)
-    return lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^log_([A-Za-z0-9.-]+)", 1).alias("job"), F.col("value").alias("line"))
+    return lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^log_([A-Za-z0-9-]+)", 1).alias("job"), F.col("value").alias("line"))
 
 
 def windowed_counts(events: DataFrame, delay: str = "1 hour", length: str = "1 day") -> DataFrame:
