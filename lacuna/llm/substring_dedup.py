@@ -248,7 +248,7 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     drop(placed)
     reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", F.element_at("pos", 1).alias("pos"))).alias("r"), F.sum(F.size("pos")).alias("n"))
     chunks = reps.groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
-    reps = reps.join(chunks, "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
+    reps = reps.join(materialise(chunks), "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
     touched = copies.select("id", "dk").distinct().join(reps, ["id", "dk"], "left")
     texts = materialise(docs.join(touched, ["id", "dk"]))
     contexts = texts.where("reps is not null").select("text", "reps").mapInArrow(_contexts(size, gram), "h long, c long, chunk long, left long, bytes binary")
