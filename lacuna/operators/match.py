@@ -45,23 +45,28 @@ class Similarity:
     compensate: bool = False
 
     def __call__(self, event: np.ndarray, place: np.ndarray) -> np.ndarray:
-        score = np.zeros((len(event), len(place)))
-        support = np.zeros_like(score)
-        bad = np.zeros(score.shape, bool)
+        has_e, has_p = ~np.isnan(event), ~np.isnan(place)
+        ve, vp = has_e.astype(float), has_p.astype(float)
+        weight = np.array(self.layout.weights)
+        left, right = [], []  # the score is a product of two matrices: one column pair per term of each place of a pattern
         for j, (w, cat) in enumerate(zip(self.layout.weights, self.layout.categorical, strict=True)):
-            e, p = event[:, j, None], place[None, :, j]
-            both = ~np.isnan(e) & ~np.isnan(p)
+            e, p = np.where(has_e[:, j], event[:, j], 0.0), np.where(has_p[:, j], place[:, j], 0.0)
             if cat:
-                part = np.where(e == p, w, 0.0) - (w if self.compensate else 0.0)
+                for c in np.unique(e[has_e[:, j]]):
+                    left.append(w * (ve[:, j] * (e == c)))
+                    right.append(vp[:, j] * (p == c))
+                if self.compensate:
+                    left.append(-w * ve[:, j])
+                    right.append(vp[:, j])
             else:
-                part = -w * (e - p) ** 2
-            score += np.where(both, part, 0.0)
-            support += np.where(both, w, 0.0)
-            bad |= np.isnan(p) & ~np.isnan(e)
+                left += [-w * e * e * ve[:, j], -w * ve[:, j], 2 * w * e]
+                right += [vp[:, j], p * p, p]
+        score = np.stack(left, axis=1) @ np.stack(right) if left else np.zeros((len(event), len(place)))
         if self.compensate:
+            support = (ve * weight) @ vp.T
             with np.errstate(divide="ignore", invalid="ignore"):
                 return np.where(support > 0, -np.abs(score / support**4), -np.inf)
-        return np.where(bad, -np.inf, score)
+        return np.where(ve @ (1 - vp).T > 0, -np.inf, score)
 
 
 @dataclass(frozen=True)

@@ -43,4 +43,4 @@ def tail(spark: SparkSession, folder: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, delay: str = "1 hour", length: str = "1 day") -> DataFrame:
     """Events per type and window of event time, late ones beyond ``delay`` left out: the grid of hours as a stream."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
