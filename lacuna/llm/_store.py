@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +32,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what follows survives the loss of any executor, and Python stages are not run
-    twice. The shuffle files of the finished step are released at once.
+    twice.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -39,10 +41,18 @@ def materialise(df: DataFrame) -> DataFrame:
     _made.append((spark, path))
     schema = df.schema
     del df
-    spark._jvm.System.gc()
+    _release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more, so that Spark deletes the shuffle files; now and then."""
+    global _released
+    if time.monotonic() - _released > 3:
+        spark._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table of :func:`materialise` that nothing will read again."""
     spark = df.sparkSession
