@@ -33,10 +33,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     logarithm of the longest path; ``most_rounds`` guards against a fault and raises when reached.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
-    before = None
+    before, most = None, 2 * edges.count()
     for _ in range(most_rounds):
-        large = materialise(_star(edges, True))
-        small = materialise(_star(large, False))
+        large = materialise(_star(edges, True), most)
+        small = materialise(_star(large, False), most)
         drop(edges)
         drop(large)
         edges = small

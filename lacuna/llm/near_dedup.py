@@ -187,39 +187,42 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     least = int(count * share - 5.5 * (count * share * (1 - share)) ** 0.5)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, code binary"))
+    n = signed.count()
     keyed = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")))
+    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), n, 10_000)
     buckets = classes.select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("n > 1")
     once = shared.groupBy("n", "same").agg(F.min("band").alias("band"), F.min("pivot").alias("pivot")).select("band", "pivot")
     members = materialise(buckets.join(once, "band").select("band", "rep", "pivot"))
+    met = members.count()
 
     codes = classes.select("rep", "code")
     star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     star = star.join(codes.select(F.col("rep").alias("a"), F.col("code").alias("x")), "a").join(codes.select(F.col("rep").alias("b"), F.col("code").alias("y")), "b")
-    near = materialise(star.select("a", "b", "x", "y").mapInArrow(lambda it: _agree(it, least), "a long, b long"))
+    near = materialise(star.select("a", "b", "x", "y").mapInArrow(lambda it: _agree(it, least), "a long, b long"), met)
     label = F.when(F.col("agrees"), F.col("pivot")).otherwise(F.col("rep"))
     labelled = members.join(near.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("agrees")), ["rep", "pivot"], "left").select(F.col("band").alias("key"), "rep", label.alias("label"))
     payload = ["n_shingles", "code"]
     rest = _units(labelled.join(classes.select("rep", *payload), "rep"), payload).mapInArrow(_across(least, numerator, denominator), "a long, b long")
     pairs = materialise(near.unionByName(rest).distinct())
+    linked = pairs.count()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"))
+    sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"), 2 * linked, 2000)
     left, right = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"))
+    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"), linked, 2000)
     named = keyed.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     split = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id").join(named, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    cc = materialise(connected_components(links.unionByName(split)))
-    cluster = materialise(connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("key")))
+    cc = materialise(connected_components(links.unionByName(split)), 2 * linked)
+    cluster = materialise(connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("key")), 2 * linked)
     apart = cluster.join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     full = apart.join(classes.select("rep", *payload), "rep").join(sets, "rep")
     more = materialise(_units(full, [*payload, "members"]).mapInArrow(_across(least, numerator, denominator), "a long, b long"))
     if has_rows(more):
-        cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    place = materialise(classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")))
+        cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b")))), 2 * linked)
+    place = materialise(classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), n)
     linkable = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(True))
-    small = materialise(signed.select("doc_id", "n_shingles", "k1", "k2", linkable.alias("linkable")))
+    small = materialise(signed.select("doc_id", "n_shingles", "k1", "k2", linkable.alias("linkable")), n)
     for done in (signed, classes, members, near, pairs, sets, links, cluster, more, cc):
         drop(done)
     out = small.join(place.withColumn("linkable", F.lit(True)), ["k1", "k2", "linkable"], "left")

@@ -242,15 +242,16 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     """
     docs = _keyed(docs)
     placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram), "h long, c long, id long, dk long, pos array<long>"))
+    found = placed.count()
     shared = placed.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("multi"))
     # written first: a join of two plain exchanges lets Spark split the tasks of a very common anchor
-    copies = materialise(placed.join(materialise(shared), "h"))
+    copies = materialise(placed.join(materialise(shared, found), "h"), found)
     drop(placed)
     reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", F.element_at("pos", 1).alias("pos"))).alias("r"), F.sum(F.size("pos")).alias("n"))
     chunks = reps.groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
-    reps = reps.join(materialise(chunks), "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
+    reps = reps.join(materialise(chunks, found), "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
     touched = copies.select("id", "dk").distinct().join(reps, ["id", "dk"], "left")
-    texts = materialise(docs.join(touched, ["id", "dk"]))
+    texts = materialise(docs.join(touched, ["id", "dk"]), docs.count(), 2000)
     contexts = texts.where("reps is not null").select("text", "reps").mapInArrow(_contexts(size, gram), "h long, c long, chunk long, left long, bytes binary")
     contexts = contexts.repartition("h", "chunk").sortWithinPartitions("h", "chunk", "c").select("h", "c", "chunk", "left", "bytes")
     spans = "array<struct<a:int,b:int>>"
