@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Spellings that count as equal, applied in this order to lower-case words between single spaces.
 SPELLINGS = (
-    ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"),
+    ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"),
     ("organisation", "organization"), ("merchantibility", "merchantability"), ("fulfil", "fulfill"), ("favour", "favor"), ("behaviour", "behavior"), ("http", "https"), ("per cent", "percent"),
 )
 
