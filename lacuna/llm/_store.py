@@ -28,10 +28,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def materialise(df: DataFrame, rows: int | None = None, per: int = 50_000) -> DataFrame:
+def materialise(df: DataFrame, rows: int | None = None, per: int = 100_000) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Where a bound on its ``rows`` is known, at most one file for every ``per`` of them is written (and six).
+    Where a bound on its ``rows`` is known, at most one file for every ``per`` of them is written (and three):
+    small files cost more to open, and on local disks to create, than to read.
 
     Cuts the lineage: what follows survives the loss of any executor, and Python stages are not run
     twice.
@@ -40,7 +41,7 @@ def materialise(df: DataFrame, rows: int | None = None, per: int = 50_000) -> Da
     small_batches(spark)
     path = f"{shared_dir(spark)}/lacuna-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(6, -(-rows // per)))
+        df = df.coalesce(max(3, -(-rows // per)))
     df.write.parquet(path)
     _made.append((spark, path))
     schema = df.schema

@@ -25,14 +25,15 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, rows: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long), component being its smallest node.
 
     Links to itself, repeated links and nulls are allowed; a node that has only links to itself or to
     null does not occur in the result. Each round is written to the shared folder. Rounds grow with the
-    logarithm of the longest path; ``most_rounds`` guards against a fault and raises when reached.
+    logarithm of the longest path; ``rows`` may give a bound on the links;
+    ``most_rounds`` guards against a fault and raises when reached.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct(), rows)
     before, most = None, 2 * edges.count()
     for _ in range(most_rounds):
         large = materialise(_star(edges, True), most)

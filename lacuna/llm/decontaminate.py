@@ -215,5 +215,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, slice_c
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; rows with a null doc_id stay."""
-    leaked = materialise(find_leaks(docs, benchmark, rate).select("doc_id").where("doc_id is not null").distinct())
+    leaked = materialise(find_leaks(docs, benchmark, rate).select("doc_id").where("doc_id is not null").distinct(), docs.count())
     return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)

@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     s = targets.withColumn("part", part.cast("long")).withColumn("top", cum).withColumn("all", F.sum("part").over(W.partitionBy()))
     at = lambda c: F.floor(F.try_divide(c.cast("double"), F.col("all").cast("double")) * F.lit(float(POINTS))).cast("long")
     words_ = F.floor(F.col("target") + 0.5).cast("long")
-    s = materialise(s.select("src", "source", "source_size", "target", words_.alias("quota"), at(F.col("top") - F.col("part")).alias("low"), at(F.col("top")).alias("high"), "all"))
+    s = materialise(s.select("src", "source", "source_size", "target", words_.alias("quota"), at(F.col("top") - F.col("part")).alias("low"), at(F.col("top")).alias("high"), "all"), 0)
     n, total = s.agg(F.count("*"), F.max("all")).first()
     small = F.broadcast if n <= BROADCAST_SOURCES else (lambda d: d)
 

@@ -99,18 +99,18 @@ def _verify(numerator: int, denominator: int):
     return run
 
 
-def _units(rows: DataFrame, payload: list[str], block: int = 1024) -> DataFrame:
+def _units(rows: DataFrame, payload: list[str], bound: int, block: int = 1024) -> DataFrame:
     """Deal rows (key, rep, label, ...) so that all of a key meet, but for two of its most frequent label.
 
     Rows of other labels (side 0) are cut into blocks, and so are all rows of the key (side 1); every two
     blocks meet in a unit of at most about 2 * ``block`` rows. Where nearly all rows of a large key bear
     one label, as after linking them to one of them, each is sent on to few units. Keys with a single
-    label go.
+    label go. ``bound`` is a bound on the number of keys.
     """
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     keys = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
     keys = keys.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("xs"), F.ceil(F.col("n") / block).alias("ys"))
-    at = rows.join(materialise(keys), "key")
+    at = rows.join(materialise(keys, bound), "key")
     x, y = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("xs")), F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("ys"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     some = at.where("label <> top").select("key", x.alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "rep", "label", *payload)
@@ -189,11 +189,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     signed = materialise(docs.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, code binary"))
     n = signed.count()
     keyed = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), n, 10_000)
+    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), n, 25_000)
     buckets = classes.select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("n > 1")
     once = shared.groupBy("n", "same").agg(F.min("band").alias("band"), F.min("pivot").alias("pivot")).select("band", "pivot")
-    members = materialise(buckets.join(once, "band").select("band", "rep", "pivot"))
+    members = materialise(buckets.join(once, "band").select("band", "rep", "pivot"), n, 25_000)
     met = members.count()
 
     codes = classes.select("rep", "code")
@@ -203,23 +203,23 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     label = F.when(F.col("agrees"), F.col("pivot")).otherwise(F.col("rep"))
     labelled = members.join(near.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("agrees")), ["rep", "pivot"], "left").select(F.col("band").alias("key"), "rep", label.alias("label"))
     payload = ["n_shingles", "code"]
-    rest = _units(labelled.join(classes.select("rep", *payload), "rep"), payload).mapInArrow(_across(least, numerator, denominator), "a long, b long")
-    pairs = materialise(near.unionByName(rest).distinct())
+    rest = _units(labelled.join(classes.select("rep", *payload), "rep"), payload, met).mapInArrow(_across(least, numerator, denominator), "a long, b long")
+    pairs = materialise(near.unionByName(rest).distinct(), met)
     linked = pairs.count()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"), 2 * linked, 2000)
+    sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"), 2 * linked, 5000)
     left, right = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"), linked, 2000)
+    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"), linked, 5000)
     named = keyed.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     split = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id").join(named, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    cc = materialise(connected_components(links.unionByName(split)), 2 * linked)
-    cluster = materialise(connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("key")), 2 * linked)
+    cc = materialise(connected_components(links.unionByName(split), 2 * linked), 2 * linked)
+    cluster = materialise(connected_components(pairs, linked).select(F.col("node").alias("rep"), F.col("component").alias("key")), 2 * linked)
     apart = cluster.join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     full = apart.join(classes.select("rep", *payload), "rep").join(sets, "rep")
-    more = materialise(_units(full, [*payload, "members"]).mapInArrow(_across(least, numerator, denominator), "a long, b long"))
+    more = materialise(_units(full, [*payload, "members"], linked).mapInArrow(_across(least, numerator, denominator), "a long, b long"), linked, 5000)
     if has_rows(more):
-        cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b")))), 2 * linked)
+        cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b"))), 3 * linked), 2 * linked)
     place = materialise(classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), n)
     linkable = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(True))
     small = materialise(signed.select("doc_id", "n_shingles", "k1", "k2", linkable.alias("linkable")), n)
@@ -236,7 +236,7 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     Only the ids that go are joined, and those of which several rows stay.
     """
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.when(F.col("kept"), 1)).alias("n"), F.count("*").alias("rows"))
-    ids = materialise(ids.where("n <> 1 or rows <> 1"))
+    ids = materialise(ids.where("n <> 1 or rows <> 1"), docs.count())
     out = docs.join(ids, "doc_id", "left_anti")
     if has_rows(again := ids.where("n >= 1")):
         out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -245,17 +245,18 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     found = placed.count()
     shared = placed.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("multi"))
     # written first: a join of two plain exchanges lets Spark split the tasks of a very common anchor
-    copies = materialise(placed.join(materialise(shared, found), "h"), found)
+    copies = materialise(placed.join(materialise(shared, found), "h"), found, 200_000)
     drop(placed)
     reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", F.element_at("pos", 1).alias("pos"))).alias("r"), F.sum(F.size("pos")).alias("n"))
     chunks = reps.groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
     reps = reps.join(materialise(chunks, found), "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
     touched = copies.select("id", "dk").distinct().join(reps, ["id", "dk"], "left")
-    texts = materialise(docs.join(touched, ["id", "dk"]), docs.count(), 2000)
+    many = docs.count()
+    texts = materialise(docs.join(touched, ["id", "dk"]), many, 5000)
     contexts = texts.where("reps is not null").select("text", "reps").mapInArrow(_contexts(size, gram), "h long, c long, chunk long, left long, bytes binary")
     contexts = contexts.repartition("h", "chunk").sortWithinPartitions("h", "chunk", "c").select("h", "c", "chunk", "left", "bytes")
     spans = "array<struct<a:int,b:int>>"
-    hits = materialise(contexts.mapInArrow(_repeats(size, gram, unit), f"h long, c long, spans {spans}, gaps array<struct<a:int,w:long,n:int>>"))
+    hits = materialise(contexts.mapInArrow(_repeats(size, gram, unit), f"h long, c long, spans {spans}, gaps array<struct<a:int,w:long,n:int>>"), found, 50_000)
     ranges = hits.select("h", "c", "spans")
     gaps = hits.where(F.size("gaps") > 0).select("h", "c", F.inline("gaps"))
     if has_rows(gaps):
@@ -266,7 +267,7 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int =
     places = copies.join(ranges, ["h", "c", "multi"], "left").where("not multi or spans is not null")
     places = places.groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "multi", "spans")).alias("places"))
     cut = texts.select("id", "dk", "text").join(places, ["id", "dk"]).mapInArrow(_cut(size, gram), "id long, dk long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cut = materialise((cut if with_text else cut.drop("kept")).where("n_removed > 0").dropDuplicates(["id", "dk"]))
+    cut = materialise((cut if with_text else cut.drop("kept")).where("n_removed > 0").dropDuplicates(["id", "dk"]), many, 5000)
     for done in (copies, texts, hits):
         drop(done)
     return cut
