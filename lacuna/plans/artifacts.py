@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a job leaves behind, by name.
+KINDS = ("log", "warning", "error", "progress", "meta")
+ROW = "job string, kind string, at long, key string, value string"
+
 
 def latest(messages: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """The last value of every key."""
@@ -23,3 +27,48 @@ def safe_name(text: Column) -> Column:
 def key_values(text: Column, pairs: str = "\n", between: str = "=") -> Column:
     """A text of key=value lines as a map."""
     return F.str_to_map(text, F.lit(pairs), F.lit(between))
+
+
+def append(rows: DataFrame, folder: str) -> None:
+    """Add artifacts (job, kind, at, key, value) to the store, partitioned by kind so that a lookup reads one."""
+    rows.select("job", "kind", "at", "key", "value").write.mode("append").partitionBy("kind").parquet(f"{folder}/artifacts")
+
+
+def lookup(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The artifact called ``<kind>_<job>``, in order of time: at, key, value. Progress has its latest value per key."""
+    kind, _, job = name.partition("_")
+    if kind not in KINDS or not job:
+        raise ValueError(f"no artifact is called {name!r}")
+    own = spark.read.schema(ROW).parquet(f"{folder}/artifacts").where((F.col("kind") == kind) & (F.col("job") == job))
+    if kind in ("progress", "meta"):
+        return own.groupBy("key").agg(F.max("at").alias("at"), F.max_by("value", "at").alias("value")).select("at", "key", "value")
+    return own.select("at", "key", "value").orderBy("at")
+
+
+def put(df: DataFrame, folder: str, name: str) -> str:
+    """Store a table under a safe name, written aside and then renamed, so that readers never see half of it."""
+    import re
+
+    spark = df.sparkSession
+    safe = re.sub("[^A-Za-z0-9_.-]", "_", name)
+    part, target = f"{folder}/tables/.{safe}.part", f"{folder}/tables/{safe}"
+    df.write.mode("overwrite").parquet(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    fs.rename(path(part), path(target))
+    return safe
+
+
+def exists(spark: SparkSession, folder: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def get(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/tables/{name}")
+
+
+def missing(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Digests (digest) that must be sent because the store lacks them."""
+    return wanted.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti")

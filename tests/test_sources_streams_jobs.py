@@ -135,3 +135,21 @@ def test_jobs(spark):
 def test_key_values(spark):
     df = spark.createDataFrame([("a=1\nb=x=y",)], "t string")
     assert df.select(artifacts.key_values(df.t)).first()[0] == {"a": "1", "b": "x=y"}
+
+
+def test_artifacts_and_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    rows = [("a", "log", 2, None, "two"), ("a", "log", 1, None, "one"), ("b", "log", 1, None, "other"), ("a", "progress", 1, "progress", "10"), ("a", "progress", 2, "progress", "50")]
+    artifacts.append(spark.createDataFrame(rows[:3], artifacts.ROW), folder)
+    artifacts.append(spark.createDataFrame(rows[3:], artifacts.ROW), folder)
+    assert [r.value for r in artifacts.lookup(spark, folder, "log_a").collect()] == ["one", "two"]
+    assert [tuple(r) for r in artifacts.lookup(spark, folder, "progress_a").collect()] == [(2, "progress", "50")]
+    assert artifacts.lookup(spark, folder, "error_a").count() == 0
+    with pytest.raises(ValueError):
+        artifacts.lookup(spark, folder, "nothing_a")
+    name = artifacts.put(spark.range(3), folder, "im 1/job")
+    assert name == "im_1_job" and artifacts.exists(spark, folder, name) and not artifacts.exists(spark, folder, "im_2_job")
+    artifacts.put(spark.range(5), folder, "im 1/job")
+    assert artifacts.get(spark, folder, name).count() == 5
+    have = spark.createDataFrame([("x",)], "digest string")
+    assert [r.digest for r in artifacts.missing(spark.createDataFrame([("x",), ("y",), ("y",)], "digest string"), have).collect()] == ["y"]
