@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._store import drop, materialise
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
+def _star(edges: DataFrame, both: bool, rows: int) -> DataFrame:
     """One star step over (u, v) with u > v.
 
     Large-star (``both``) links every larger neighbour of a node to the smallest of node and
@@ -16,7 +16,8 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     minimum per node is gathered (combined before the shuffle), never a list of neighbours.
     """
     arcs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written first: a join of two plain exchanges lets Spark split the arcs of a node with very many
+    least = materialise(arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
     out = arcs.join(least, "u")
     if both:
         out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,8 +37,8 @@ def connected_components(links: DataFrame, rows: int | None = None, most_rounds:
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct(), rows)
     before, most = None, 2 * edges.count()
     for _ in range(most_rounds):
-        large = materialise(_star(edges, True), most)
-        small = materialise(_star(large, False), most)
+        large = materialise(_star(edges, True, most), most)
+        small = materialise(_star(large, False, most), most)
         drop(edges)
         drop(large)
         edges = small
