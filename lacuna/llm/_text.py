@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+LONG, STEP = 4 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -65,8 +66,31 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         a = b
 
 
+def cuts(flag: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A long text in runs of about ``STEP`` bytes that end before a byte that ``flag`` marks."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + STEP)
+        while b < n and not flag[data[b]]:
+            more = np.flatnonzero(flag[data[b : b + STEP]])
+            b = b + int(more[0]) if len(more) else min(n, b + STEP)
+        yield a, b
+        a = b
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, in order, and the number of words per document (offsets start at 0)."""
+    """Hash of every word, in order, and the number of words per document (offsets start at 0).
+
+    A document above ``LONG`` bytes must come alone; it is hashed in runs, so that memory beyond its bytes
+    and its words' hashes is bounded, but for a single word of that length.
+    """
+    if len(offsets) == 2 and len(data) > LONG:
+        parts = [_words(data[a:b], np.array([0, b - a]), table)[0] for a, b in cuts(SPACE, data)]
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+    return _words(data, offsets, table)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     docs = len(offsets) - 1
     if n == 0:

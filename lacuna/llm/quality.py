@@ -46,12 +46,32 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+NEWLINE = _class(10).astype(bool)
+REPEATED = 11
+
+
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own features of every non-empty line, its length in bytes and its document."""
+    """Own features of every non-empty line, its length in bytes and its document.
+
+    A long document, which comes alone, is read in runs of lines; only whether a line occurs again in its
+    document needs all of them, by their hashes.
+    """
+    if len(offsets) == 2 and len(data) > _text.LONG:
+        parts = [_own_features(data[a:b], np.array([0, b - a])) for a, b in _text.cuts(NEWLINE, data)]
+    else:
+        parts = [_own_features(data, offsets)]
+    x, length, doc, whole = (np.concatenate(p) for p in zip(*parts, strict=True))
+    _, back, times = np.unique(whole, return_inverse=True, return_counts=True)
+    x[:, REPEATED] = times[back] > 1
+    return x, length, doc
+
+
+def _own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`line_features` but for repeated lines, and the hash of every line and its document."""
     starts, ends, doc = _lines(data, offsets)
     n = len(starts)
     if not n:
-        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), doc
+        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), doc, np.zeros(0, np.uint64)
     length = ends - starts
 
     def count(flag: np.ndarray) -> np.ndarray:
@@ -73,15 +93,14 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_text.RAW[data] * _text.powers(_text.BASE, len(data)), out=total[1:])
     whole = _text.mix((total[ends] - total[starts]) * _text.powers(_text.INVERSE, len(data))[starts]) ^ _text.mix(doc.astype(np.uint64))
-    _, back, times = np.unique(whole, return_inverse=True, return_counts=True)
     size = np.maximum(length, 1).astype(np.float32)
     tokens = np.maximum(per, 1).astype(np.float32)
     letters = count(letter)
     x = np.stack([
         np.log1p(per), np.log1p(length), letters / size, count(UPPER[data]) / np.maximum(letters, 1), count(DIGIT[data]) / size, count(STOP[data]) / size, count(mark) / size,
-        count(mark.astype(bool) & after) / tokens, count(data == 124) / tokens, letters / tokens / 10, distinct / tokens, (times[back] > 1), count(data >= 128) / size,
+        count(mark.astype(bool) & after) / tokens, count(data == 124) / tokens, letters / tokens / 10, distinct / tokens, np.zeros(n), count(data >= 128) / size,
     ], axis=1)
-    return x.astype(np.float32), length, doc
+    return x.astype(np.float32), length, doc, whole
 
 
 def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -48,6 +48,20 @@ def test_line_features_equal_a_plain_count():
     assert x[2, 3] == pytest.approx(2 / 5) and x[2, 4] == pytest.approx(2 / 13)
 
 
+def test_long_documents_in_runs_give_the_same(monkeypatch):
+    r = random.Random(8)
+    text = "\n".join([*(good(r, 3) for _ in range(20)), "x" * 700, *(bad(r, 3) for _ in range(20)), "", good(random.Random(8), 3)]).encode()
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    from lacuna.llm import _text as T
+
+    one, words = Q.line_features(data, off), T.words(data, off)
+    monkeypatch.setattr(T, "LONG", 100)
+    monkeypatch.setattr(T, "STEP", 300)
+    two, again = Q.line_features(data, off), T.words(data, off)
+    assert all((a == b).all() for a, b in zip(one[:2], two[:2], strict=True)) and one[0][:, Q.REPEATED].sum() >= 6
+    assert (words[0] == again[0]).all() and words[1].tolist() == again[1].tolist()
+
+
 def test_quality_on_held_out_rows(spark):
     rows = labelled()
     odd = [(1000, None), (1001, ""), (1002, "\n \n"), (1003, "word"), (1004, "x " * 200_000), (None, rows[0][1]), (5, rows[5][1])]
