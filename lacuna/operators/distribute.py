@@ -22,6 +22,14 @@ def flatten_jobs(grids: DataFrame, text: str = "grid") -> DataFrame:
     return width.select("id", "r", "c", (F.col("r") * F.col("w") + F.col("c")).alias("position"), "job")
 
 
+def job_grid_faults(jobs: DataFrame) -> DataFrame:
+    """id, ragged, repeated for grids that can't be run: rows of unequal length, or a job at two places."""
+    rows = jobs.groupBy("id", "r").agg(F.count("*").alias("w"))
+    ragged = rows.groupBy("id").agg((F.min("w") != F.max("w")).alias("ragged"))
+    twice = jobs.groupBy("id", "job").agg(F.count("*").alias("n")).groupBy("id").agg((F.max("n") > 1).alias("repeated"))
+    return ragged.join(twice, "id").where("ragged or repeated")
+
+
 def job_neighbours(jobs: DataFrame) -> DataFrame:
     """Pairs of jobs whose places differ by one at most along each axis, by eight shifts and an equi-join."""
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])

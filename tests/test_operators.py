@@ -127,3 +127,8 @@ def test_halo_equals_padding(spark):
     got = {(r.bx, r.by, r.x, r.y): r.value for r in D.halo(b, 4, 4, 2).collect()}
     want = {(bx, by, x, y): grid[bx * 4 + x, by * 4 + y] for bx in range(3) for by in range(2) for x in range(-2, 6) for y in range(-2, 6) if not (0 <= x < 4 and 0 <= y < 4) and (bx * 4 + x, by * 4 + y) in grid}
     assert got == want
+
+
+def test_faulty_job_grids_are_told(spark):
+    g = spark.createDataFrame([("ok", "[[1,2],[3,4]]"), ("ragged", "[[1,2],[3]]"), ("twice", "[[1,2],[2,3]]")], "id string, grid string")
+    assert sorted((r.id, r.ragged, r.repeated) for r in D.job_grid_faults(D.flatten_jobs(g)).collect()) == [("ragged", True, False), ("twice", False, True)]
