@@ -162,3 +162,20 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, rol
   CAST(NULL AS BIGINT) AS linked_turn, 'ok' AS status, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS message
 FROM conversations
 """
+
+# Bytes are pairs of hexadecimal digits here; strings are compared by a 64-bit hash.
+ORACLES["op5_substring_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT id, h, unnest(range(length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800),
+w AS (SELECT id, i, hash(substr(h, 2 * i + 1, 800)) AS w FROM p),
+r AS (SELECT id, i FROM w QUALIFY count(*) OVER (PARTITION BY w) > 1),
+s AS (SELECT id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY id ORDER BY i) + 400 THEN 0 ELSE 1 END AS n FROM r),
+g AS (SELECT id, i, sum(n) OVER (PARTITION BY id ORDER BY i) AS k FROM s),
+spans AS (SELECT id, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY id, k),
+n AS (SELECT id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM spans GROUP BY id),
+pieces AS (SELECT id, a AS place, coalesce(lag(b) OVER (PARTITION BY id ORDER BY a), 0) AS lo, a AS hi FROM spans UNION ALL SELECT id, last, last, NULL FROM n),
+kept AS (SELECT d.id, string_agg(CASE WHEN hi IS NULL THEN substr(h, 2 * lo + 1) ELSE substr(h, 2 * lo + 1, 2 * (hi - lo)) END, '' ORDER BY place) AS h FROM pieces JOIN d USING (id) GROUP BY d.id)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed, coalesce(n.spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n.id IS NULL THEN d.h ELSE kept.h END)) AS kept_sha256
+FROM d LEFT JOIN n USING (id) LEFT JOIN kept USING (id)
+"""
