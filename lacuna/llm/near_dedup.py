@@ -189,11 +189,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     signed = materialise(docs.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, code binary"))
     n = signed.count()
     keyed = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), n, 25_000)
+    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), n, 8_000)
     buckets = classes.select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("n > 1")
     once = shared.groupBy("n", "same").agg(F.min("band").alias("band"), F.min("pivot").alias("pivot")).select("band", "pivot")
-    members = materialise(buckets.join(once, "band").select("band", "rep", "pivot"), n, 25_000)
+    members = materialise(buckets.join(once, "band").select("band", "rep", "pivot"), n, 8_000)
     met = members.count()
 
     codes = classes.select("rep", "code")
