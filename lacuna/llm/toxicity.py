@@ -83,22 +83,26 @@ class Lexicon:
 
 
 def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For word beginnings: in how many documents of either label they occur, near copies counted once."""
+    """For word beginnings: in how many documents of either label they occur."""
     for batch in batches:
-        words = [set(_word.findall(fold(t))) for t in batch.column(1).to_pylist()]
-        mark = [min((hash_ for w in own if len(w) > 5 for hash_ in (_stable(w),)), default=-1 - i) for i, own in enumerate(words)]
-        counts: dict[tuple[str, int], set] = defaultdict(set)
-        for own, label, m in zip(words, batch.column(2).to_pylist(), mark, strict=True):
-            for p in {w[:k] for w in own for k in range(SHORTEST, min(len(w), LONGEST) + 1)}:
-                counts[p, label].add(m)
-        rows = [(p, label, list(m)) for (p, label), m in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int64())], ["term", "label", "n"])
+        counts: dict[tuple[str, int], int] = defaultdict(int)
+        for t, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for p in {w[:k] for w in set(_word.findall(fold(t))) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}:
+                counts[p, label] += 1
+        rows = [(p, label, n) for (p, label), n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["term", "label", "n"])
 
 
-def _stable(word: str) -> int:
-    import xxhash
+def term_counts(sample: DataFrame) -> tuple[DataFrame, int, int]:
+    """(term, p, n): in how many toxic and other documents a word beginning occurs; and how many there are of either.
 
-    return xxhash.xxh64_intdigest(word) >> 1
+    Equal texts of one label count as one document, in the counts and in the totals.
+    """
+    distinct = sample.dropDuplicates(["label", "text"]).repartition(4, "label", F.xxhash64("text"))
+    size = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
+    found = distinct.mapInArrow(_prefix_counts, "term string, label int, n long").groupBy("term")
+    counts = found.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n"))
+    return counts, size.get(1, 0), size.get(0, 0)
 
 
 def choose_terms(counts: list[tuple[str, int, int]], positives: int, negatives: int, least_share: float = 0.012, least_weight: float = 3.0) -> dict[str, float]:
@@ -123,9 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, mos
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = labelled_sample(docs, labels, "toxic", folds, held, most).repartition(4, "label", F.xxhash64("doc_id"))
-    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    positives, negatives = size.get(1, 0), size.get(0, 0)
-    counts = sample.mapInArrow(_prefix_counts, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n"))
+    counts, positives, negatives = term_counts(sample)
     good = counts.where((F.col("p") >= max(5, 0.012 * positives)) & ((F.col("p") + 0.5) / (positives + 1) > 20 * (F.col("n") + 0.5) / (negatives + 1)))
     rows = good.orderBy(F.desc(F.col("p") / (F.col("n") + 1)), F.desc(F.length("term")), "term").limit(MOST_TERMS).collect()
     lexicon = Lexicon(choose_terms([(r["term"], r["p"], r["n"]) for r in rows], positives, negatives), exceptions)

@@ -150,6 +150,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert {x.predicted for x in got if x.doc_id in (1000, 1001, 1002)} == {0}
 
 
+def test_documents_that_share_a_word_count_each(spark):
+    r = random.Random(9)
+    few = lambda: " ".join("".join(r.choice("aeinrst") for _ in range(r.randint(2, 5))) for _ in range(12))
+    rows = [(i, f"company {few()}" + " glorp" * (i % 4 == 0), int(i % 4 == 0)) for i in range(200)]
+    rows += [(i, "company zzyzx", 1) for i in range(200, 230)]  # copies count once
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    lexicon, _ = X.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert any("glorp".startswith(t) for t in lexicon.terms) and not any(t.startswith("zzy") for t in lexicon.terms)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
