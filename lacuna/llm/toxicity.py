@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -34,6 +35,8 @@ _word = re.compile(r"[^\W_]+")
 #: Bounds of the training sample (labelled documents) and of the lexicon learned from it.
 TRAIN_DOCS, MOST_TERMS = 12_000, 2000
 SHORTEST, LONGEST = 3, 14
+#: A term's ratio must be above 1 but for this chance.
+DOUBT = 1e-4
 
 
 def fold(text: str | None) -> str:
@@ -105,32 +108,60 @@ def term_counts(sample: DataFrame) -> tuple[DataFrame, int, int]:
     return counts, size.get(1, 0), size.get(0, 0)
 
 
-def choose_terms(counts: list[tuple[str, int, int]], positives: int, negatives: int, least_share: float = 0.012, least_weight: float = 3.0) -> dict[str, float]:
+def _tail(p: int, n: int, share: float) -> float:
+    """Chance of at least p toxic ones among p + n documents, each toxic with chance ``share``."""
+    k = np.arange(p, p + n + 1)
+    ways = math.lgamma(p + n + 1) - np.array([math.lgamma(i + 1) + math.lgamma(p + n - i + 1) for i in k])
+    return float(np.exp(ways + k * math.log(share) + (p + n - k) * math.log1p(-share)).sum())
+
+
+def choose_terms(counts: list[tuple[str, int, int]], positives: int, negatives: int, doubt: float = DOUBT, least_weight: float = 3.0) -> dict[str, float]:
     """Terms and weights from (beginning, toxic documents, others): the logarithm of the ratio of shares.
 
-    Of beginnings contained in each other the best one stays: by documents times weight, then the longest.
+    The exact lower bound of the ratio, at the level ``doubt``, must be above 1, however few toxic documents
+    (of a rare language, say) have the term. Of beginnings contained in each other the best one stays: by
+    documents times weight, then the longest.
     """
+    if not positives or not negatives:
+        return {}
     scored = []
     for t, p, n in counts:
         w = float(np.log((p + 0.5) / (positives + 1)) - np.log((n + 0.5) / (negatives + 1)))
-        if p >= max(5, least_share * positives) and w >= least_weight:
+        if p and w >= least_weight and _tail(p, n, positives / (positives + negatives)) <= doubt:
             scored.append((p * w, len(t), t, w))
     out: dict[str, float] = {}
+    within: set[str] = set()  # beginnings of chosen terms
     for _, _, t, w in sorted(scored, reverse=True):
-        if not any(t.startswith(o) or o.startswith(t) for o in out):
+        if t not in within and not any(t[:k] in out for k in range(1, len(t))):
             out[t] = w
+            within |= {t[:k] for k in range(1, len(t) + 1)}
     return out
 
 
+def learn_terms(counts: DataFrame, positives: int, negatives: int, most: int = MOST_TERMS) -> dict[str, float]:
+    """The best ``most`` terms of (term, p, n), after nested beginnings (they share the first letters) are merged."""
+    if not positives or not negatives:
+        return {}
+    least = math.log(DOUBT) / math.log(positives / (positives + negatives))  # fewer can't be sure, even with no other document
+    good = counts.where((F.col("p") >= least - 1e-9) & ((F.col("p") + 0.5) / (positives + 1) > 20 * (F.col("n") + 0.5) / (negatives + 1)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        chosen, p = choose_terms(rows, positives, negatives), {r[0]: r[1] for r in rows}
+        yield pa.RecordBatch.from_arrays([pa.array(list(chosen), pa.string()), pa.array(list(chosen.values()), pa.float64()), pa.array([p[t] * w for t, w in chosen.items()], pa.float64())], ["term", "weight", "gain"])
+
+    merged = good.select("term", "p", "n").repartition(4, F.substring("term", 1, SHORTEST)).mapInArrow(merge, "term string, weight double, gain double")
+    rows = merged.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(most).collect()
+    return {r["term"]: r["weight"] for r in rows}
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most: int = TRAIN_DOCS, exceptions: Sequence[str] = EXCEPTIONS) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and the coefficients of the score, from at most ``most`` labelled documents."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = labelled_sample(docs, labels, "toxic", folds, held, most).repartition(4, "label", F.xxhash64("doc_id"))
     counts, positives, negatives = term_counts(sample)
-    good = counts.where((F.col("p") >= max(5, 0.012 * positives)) & ((F.col("p") + 0.5) / (positives + 1) > 20 * (F.col("n") + 0.5) / (negatives + 1)))
-    rows = good.orderBy(F.desc(F.col("p") / (F.col("n") + 1)), F.desc(F.length("term")), "term").limit(MOST_TERMS).collect()
-    lexicon = Lexicon(choose_terms([(r["term"], r["p"], r["n"]) for r in rows], positives, negatives), exceptions)
+    lexicon = Lexicon(learn_terms(counts, positives, negatives), exceptions)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.terms, tuple(exceptions)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,16 @@ def test_terms_are_chosen_once():
     assert list(X.choose_terms(counts, 300, 1000)) == ["idiot"]
 
 
+def test_terms_of_a_rare_language_are_kept(spark):
+    counts = [("tonto", 9, 0), ("idiot", 900, 3), ("casual", 4, 0), ("the", 1200, 9000), ("some", 9, 8)]
+    assert set(X.choose_terms(counts, 1300, 10_700)) == {"idiot", "tonto"}
+    assert X.choose_terms(counts, 1300, 0) == X.choose_terms(counts, 0, 1300) == {}
+    assert X._tail(2, 1, 0.25) == pytest.approx(3 * 0.25**2 * 0.75 + 0.25**3)
+    nested = [("glorpish"[:k], 500, 0) for k in range(3, 9)] + [("tonto", 9, 0)]
+    df = spark.createDataFrame(nested, "term string, p long, n long")
+    assert list(X.learn_terms(df, 1300, 10_700, most=2)) == ["glorpish", "tonto"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(7)
     insults = ["glorpish", "vantok", "skrell"]
