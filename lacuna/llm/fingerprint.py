@@ -1,7 +1,7 @@
 """Homomorphic multiset hash of a text's paragraphs.
 
-A paragraph (a line that is not empty) hashes to a wide vector of 16-bit numbers; a text's fingerprint
-is the sum of its paragraphs' vectors modulo 2**16. So it doesn't depend on their order, and paragraphs
+A paragraph (a line that is not empty) hashes to a wide vector of numbers; a text's fingerprint
+is the sum of its paragraphs' vectors modulo 2**32. So it doesn't depend on their order, and paragraphs
 are added and taken away by sums and differences. The first ``DENSE`` numbers are a BLAKE2b digest of the
 paragraph and tell different texts apart. The other ``SKETCH`` numbers are the paragraph's word triples,
 each counted with a sign in one place: from them follows how much two texts have in common.
@@ -26,8 +26,8 @@ MOST_BUCKETS, BUCKET_ROWS = 16384, 1000
 
 
 def vectors(texts: Sequence[bytes]) -> np.ndarray:
-    """The fingerprints of UTF-8 texts, one row of DENSE + SKETCH uint16 each."""
-    out = np.zeros((len(texts), DENSE + SKETCH), np.uint16)
+    """The fingerprints of UTF-8 texts, one row of DENSE + SKETCH uint32 each."""
+    out = np.zeros((len(texts), DENSE + SKETCH), np.uint32)
     lines = [[x for x in t.split(b"\n") if x] for t in texts]
     per = np.array([len(x) for x in lines], np.int64)
     flat = [x for own in lines for x in own]
@@ -35,7 +35,7 @@ def vectors(texts: Sequence[bytes]) -> np.ndarray:
         return out
     some = np.flatnonzero(per)
     dense = np.frombuffer(b"".join([hashlib.blake2b(x).digest() for x in flat]), np.uint16).reshape(-1, DENSE)
-    out[some, :DENSE] = np.add.reduceat(dense, (np.cumsum(per) - per)[some], axis=0, dtype=np.uint16)
+    out[some, :DENSE] = np.add.reduceat(dense, (np.cumsum(per) - per)[some], axis=0, dtype=np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64)
     data = np.frombuffer(b"".join(flat), np.uint8)
     owner = np.repeat(np.arange(len(texts)), per)
@@ -48,14 +48,14 @@ def vectors(texts: Sequence[bytes]) -> np.ndarray:
             place = doc * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
             sign = ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64) * 2 - 1
             sums = np.bincount(place, sign, (int(doc[-1]) + 1) * SKETCH).reshape(-1, SKETCH).astype(np.int64)
-            out[first : first + len(sums), DENSE:] += sums.astype(np.uint16)
+            out[first : first + len(sums), DENSE:] += sums.astype(np.uint32)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of common word triples of rows of two fingerprints, 0 to 1: 1 - |a - b|² / (|a|² + |b|²)."""
-    x, y = (v[:, DENSE:].astype(np.int16).astype(np.float64) for v in (a, b))
-    gap = (a[:, DENSE:] - b[:, DENSE:]).astype(np.int16).astype(np.float64)
+    x, y = (v[:, DENSE:].astype(np.int32).astype(np.float64) for v in (a, b))
+    gap = (a[:, DENSE:] - b[:, DENSE:]).astype(np.int32).astype(np.float64)
     total = (x * x).sum(axis=1) + (y * y).sum(axis=1)
     near = 1 - (gap * gap).sum(axis=1) / np.maximum(total, 1)
     return np.where((a == b).all(axis=1), 1.0, np.where(total > 0, np.clip(near, 0, 1), 0.0))
@@ -66,7 +66,7 @@ def encode(rows: np.ndarray) -> list[str]:
 
 
 def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), np.uint16)
+    return np.frombuffer(base64.b64decode(fingerprint), np.uint32)
 
 
 def change(fingerprint: str, added: Sequence[str] = (), removed: Sequence[str] = ()) -> str:

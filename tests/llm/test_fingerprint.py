@@ -53,3 +53,8 @@ def test_likeness_follows_shared_content():
     other = P.vectors(["\n".join(" ".join(f"v{i}_{j}" for j in range(20)) for i in range(40)).encode()])
     assert P.likeness(a, other)[0] < 0.2
     assert np.isfinite(P.likeness(P.vectors([b""]), a)).all() and P.likeness(P.vectors([b""]), P.vectors([b""]))[0] == 1
+
+
+def test_many_repeats_do_not_wrap():
+    a, b = (P.vectors([b"one two three\n" * n]) for n in (40_000, 20_000))
+    assert P.likeness(a, b)[0] == pytest.approx(0.8)
