@@ -9,11 +9,18 @@ the columns run forward). A string repeats where that array reaches ``size``. Th
 prefix arrays of one unit are read and written strictly in sequence; the units stream through a task in
 sorted order from Spark's shuffle files, the external files of this construction, so memory is bounded
 by one unit.
+
+What decides. The construction decides every string of an anchor that has two or more different contexts, one
+representative for each. Places whose whole context equals a representative's share its result, and where all
+places of an anchor have one context, all of it repeats; such equality is proposed by digests and then compared
+byte by byte, as are strings that units of one very common anchor tell each other. Digests only propose: where
+bytes differ, everything is done again with keyed digests, so a collision costs time and never a byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +32,7 @@ from . import _text
 from ._store import drop, has_rows, materialise
 
 SIZE, GRAM = 400, 128
+BLOCK = 4096
 U = np.uint64
 PLACE = U(0xFFFFFF)
 
@@ -46,8 +54,11 @@ def _window_minimum(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Place, first string, anchor hash and context hash of every anchor of short documents (below 2**24 bytes)."""
+def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int = GRAM, key: int = 0, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Place, first string, anchor hash and context hash of every anchor of short documents (below 2**24 bytes).
+
+    The context hash is a polynomial, of which ``bits`` are kept; with a ``key`` it is a keyed BLAKE2 digest.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < size:
@@ -68,12 +79,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int =
     p, starts = p[first], starts[first]
     doc = np.searchsorted(offsets, p, "right") - 1
     lo, hi = np.maximum(offsets[doc], p - (size - gram)), np.minimum(offsets[doc + 1], p + size)
-    context = (total[hi] - total[lo]) * back[lo]
-    context = _text.mix(context ^ _text.mix(((p - lo) * 4096 + (hi - p)).astype(np.uint64)))
+    shape = (p - lo) * 4096 + (hi - p)
+    if key:
+        raw, salt = data.tobytes(), key.to_bytes(8, "little")
+        context = np.array([int.from_bytes(hashlib.blake2b(raw[x:y], digest_size=8, key=salt).digest(), "little") for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
+    else:
+        context = (total[hi] - total[lo]) * back[lo]
+    context = _text.mix(context ^ _text.mix(shape.astype(np.uint64))) >> U(64 - bits)
     return p, starts, h[p].view(np.int64), context.view(np.int64)
 
 
-def _anchors(size: int, gram: int, most: int = 1 << 20):
+def _anchors(size: int, gram: int, key: int = 0, bits: int = 64, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.utf8(batch.column(2))
@@ -82,14 +98,14 @@ def _anchors(size: int, gram: int, most: int = 1 << 20):
                 off = offsets[a : b + 1]
                 n = off[-1] - off[0]
                 if b - a > 1 or n <= 4 * most:
-                    p, _, h, c = anchors(data[off[0] : off[-1]], off - off[0], size, gram)
+                    p, _, h, c = anchors(data[off[0] : off[-1]], off - off[0], size, gram, key, bits)
                     doc = np.searchsorted(off - off[0], p, "right") - 1 + a
                     found = [(p + off[0] - offsets[doc], h, c, doc)]
                 else:
                     found = []
                     for s in range(0, max(0, n - size) + 1, most):
                         lo, hi = max(0, s - 2 * size), min(n, s + most + 3 * size)
-                        p, first, h, c = anchors(data[off[0] + lo : off[0] + hi], np.array([0, hi - lo]), size, gram)
+                        p, first, h, c = anchors(data[off[0] + lo : off[0] + hi], np.array([0, hi - lo]), size, gram, key, bits)
                         own = (first + lo >= s) & (first + lo < s + most)
                         found.append((p[own] + lo, h[own], c[own], np.full(own.sum(), a)))
                 for p, h, c, doc in found:
@@ -103,23 +119,87 @@ def _anchors(size: int, gram: int, most: int = 1 << 20):
     return run
 
 
+#: Places of one text: an anchor's digests, where it stands, the representative of its context, how many places
+#: have that context, and the units of the anchor (null where it has no other context).
+PLACES = "array<struct<h:long,c:long,pos:array<long>,r:struct<id:long,dk:long,pos:long>,n:long,chunks:long>>"
+
+
 def _contexts(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _text.utf8(batch.column(0))
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            data, offsets = _text.utf8(batch.column(2))
             out: tuple[list, ...] = ([], [], [], [], [])
-            for d, reps in enumerate(batch.column(1)):
+            for d, places in enumerate(batch.column(3)):
                 a, e = offsets[d], offsets[d + 1]
-                for r in reps:
-                    h, c, pos, n, chunks = (r[k].as_py() for k in ("h", "c", "pos", "n", "chunks"))
-                    left = min(pos, size - gram)
-                    for x, v in zip(out, (h, c, c % chunks if chunks > 1 else -1, left * 2 + (n > 1), data[a + pos - left : min(e, a + pos + size)].tobytes()), strict=True):
-                        x.append(v)
+                for x in places:
+                    if x["chunks"].is_valid and x["r"]["id"].as_py() == ids[d] and x["r"]["dk"].as_py() == keys[d]:
+                        h, c, pos, n, chunks = x["h"].as_py(), x["c"].as_py(), x["r"]["pos"].as_py(), x["n"].as_py(), x["chunks"].as_py()
+                        left = min(pos, size - gram)
+                        for y, v in zip(out, (h, c, c % chunks if chunks > 1 else -1, left * 2 + (n > 1), data[a + pos - left : min(e, a + pos + size)].tobytes()), strict=True):
+                            y.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h", "c", "chunk", "left", "bytes"])
 
     return run
 
 
+def _asks(before: int, after: int):
+    """What each text holds where a representative is said to hold the same, in pieces of the latter's blocks.
+
+    From id, dk, text and a list of (r, pos): the bytes from ``before`` below to ``after`` above each place;
+    overlapping ranges with one representative and shift are one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _text.utf8(batch.column(2))
+            listed = batch.column(3)
+            r, pos = listed.flatten().flatten()
+            row = np.repeat(np.arange(len(batch)), listed.value_lengths().to_numpy())
+            each = np.repeat(np.arange(len(r)), pos.value_lengths().to_numpy())
+            p, doc = pos.flatten().to_numpy().astype(np.int64), row[each]
+            rid, rdk, rpos = (x.to_numpy()[each] for x in r.flatten())
+            other = (rid != batch.column(0).to_numpy()[doc]) | (rdk != batch.column(1).to_numpy()[doc]) | (rpos != p)
+            p, doc, rid, rdk, shift = p[other], doc[other], rid[other], rdk[other], (rpos - p)[other]
+            order = np.lexsort((p, shift, rdk, rid, doc))
+            p, doc, rid, rdk, shift = p[order], doc[order], rid[order], rdk[order], shift[order]
+            lo, hi = np.maximum(0, p - before), np.minimum(np.diff(offsets)[doc], p + after)
+            new = np.ones(len(p), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (rdk[1:] != rdk[:-1]) | (shift[1:] != shift[:-1]) | (lo[1:] > hi[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first, len(p))[1:] - 1
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for k, e in zip(first.tolist(), (hi[last] + shift[last]).tolist(), strict=True):
+                a, base = int(lo[k] + shift[k]), int(offsets[doc[k]] - shift[k])
+                for s in range(a - a % BLOCK, e, BLOCK):
+                    x, y = max(a, s), min(e, s + BLOCK)
+                    for o, v in zip(out, (rid[k], rdk[k], s // BLOCK, x - s, data[base + x : base + y].tobytes()), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["id", "dk", "block", "at", "here"])
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = _text.utf8(batch.column(2))
+        n = -(-np.diff(offsets) // BLOCK)
+        doc = np.repeat(np.arange(len(n)), n)
+        block = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        a = offsets[doc] + block * BLOCK
+        e = np.minimum(a + BLOCK, offsets[doc + 1])
+        there = pa.array([data[x:y].tobytes() for x, y in zip(a, e, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(block, pa.int32()), there], ["id", "dk", "block", "there"])
+
+
+def _differ(asked: DataFrame, witnesses: DataFrame, before: int, after: int) -> bool:
+    """Do the bytes of any place differ from its representative's? (id, dk, text, list of (r, pos); id, dk, text)"""
+    here = asked.mapInArrow(_asks(before, after), "id long, dk long, block int, at int, here binary")
+    there = witnesses.mapInArrow(_blocks, "id long, dk long, block int, there binary")
+    both = here.join(there, ["id", "dk", "block"], "left")
+    return has_rows(both.where("not coalesce(substring(there, at + 1, octet_length(here)) = here, false)"))
+
+
 def repeated(strings: list[bytes], left: np.ndarray, group: np.ndarray, size: int = SIZE, gram: int = GRAM) -> np.ndarray:
     """For every context and every string start (relative to ``gram - size``): does the string repeat in its group?
 
@@ -201,21 +281,38 @@ def _repeats(size: int, gram: int, most: int):
     return run
 
 
-def _cut(size: int, gram: int):
+def _few_words(text: np.ndarray, gone: np.ndarray, words: int, whole: int) -> np.ndarray:
+    """``gone`` without runs that have both below ``words`` words and below ``whole`` bytes."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    a, b = edge[::2], edge[1::2]
+    solid = ~_text.SPACE[text]
+    begins = solid & ~np.concatenate([[False], solid[:-1]])
+    total = np.concatenate([[0], np.cumsum(begins)])
+    number = total[b] - total[a] + (solid[a] & ~begins[a])
+    gone = gone.copy()
+    for x, y in zip(a[(number < words) & (b - a < whole)], b[(number < words) & (b - a < whole)], strict=True):
+        gone[x:y] = False
+    return gone
+
+
+def _cut(size: int, gram: int, words: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.utf8(batch.column(2))
             removed, runs, digests, kept = [], [], [], []
-            for d, places in enumerate(batch.column(3).to_pylist()):
+            for d, (copied, found) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 text = data[offsets[d] : offsets[d + 1]]
                 step = np.zeros(len(text) + 1, np.int32)
-                for x in places:
-                    for pos in x["pos"]:
-                        whole = [{"a": max(-pos, gram - size), "b": min(0, len(text) - pos - size)}]
-                        for s in x["spans"] if x["multi"] else whole:
-                            step[pos + s["a"]] += 1
-                            step[pos + s["b"] + size] -= 1
+                for pos in itertools.chain.from_iterable(copied):
+                    step[max(0, pos + gram - size)] += 1
+                    step[min(len(text), pos + size)] -= 1
+                for x in found or ():
+                    for pos, s in itertools.product(x["pos"], x["spans"]):
+                        step[pos + s["a"]] += 1
+                        step[pos + s["b"] + size] -= 1
                 gone = np.cumsum(step[:-1]) > 0
+                if words:
+                    gone = _few_words(text, gone, words, whole)
                 rest = text[~gone].tobytes()
                 removed.append(int(gone.sum()))
                 runs.append(int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum()))
@@ -233,50 +330,87 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(id_.alias("id"), F.xxhash64(id_, text).alias("dk"), text.alias("text"))
 
 
-def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int = 4096, with_text: bool = True) -> DataFrame:
+def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, unit: int = 4096, with_text: bool = True, words: int = 0, whole: int = SIZE, bits: int = 64) -> DataFrame:
     """id, dk, n_removed, n_spans, kept_sha256 and, ``with_text``, kept (bytes) of every document that loses a byte.
 
-    ``id`` is the doc_id (null: -2**63) and ``dk`` a digest of id and text, see :func:`with_digest`.
-    Contexts that share an anchor but exceed ``unit`` are dealt to several units; every unit then
-    tells its different strings by digest, and one that any other has, too, repeats; so nothing is lost.
+    ``id`` is the doc_id (null: -2**63) and ``dk`` a digest of id and text. With ``words``, runs of fewer words and
+    fewer than ``whole`` bytes stay. Contexts that share an anchor but exceed ``unit`` are dealt to several units;
+    every unit then tells its different strings by digest, and one that any other has, too, repeats; so nothing is
+    lost. ``bits`` of the first context digests are used (tests take few, so that they collide).
     """
     docs = _keyed(docs)
-    placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram), "h long, c long, id long, dk long, pos array<long>"))
+    for key in range(4):
+        cut = _cut_once(docs, size, gram, unit, with_text, words, whole, key, 64 if key else bits)
+        if cut is not None:
+            return cut
+    raise RuntimeError("contexts collided under four independent digests")
+
+
+def _cut_once(docs: DataFrame, size: int, gram: int, unit: int, with_text: bool, words: int, whole: int, key: int, bits: int) -> DataFrame | None:
+    """As :func:`cut_repeats`; None where digests were equal and bytes were not."""
+    placed = materialise(docs.select("id", "dk", "text").mapInArrow(_anchors(size, gram, key, bits), "h long, c long, id long, dk long, pos array<long>"))
     found = placed.count()
     shared = placed.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("multi"))
     # written first: a join of two plain exchanges lets Spark split the tasks of a very common anchor
     copies = materialise(placed.join(materialise(shared, found), "h"), found, 200_000)
     drop(placed)
-    reps = copies.where("multi").groupBy("h", "c").agg(F.min(F.struct("id", "dk", F.element_at("pos", 1).alias("pos"))).alias("r"), F.sum(F.size("pos")).alias("n"))
-    chunks = reps.groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
-    reps = reps.join(materialise(chunks, found), "h").groupBy("r.id", "r.dk").agg(F.collect_list(F.struct("h", "c", "r.pos", "n", "chunks")).alias("reps"))
-    touched = copies.select("id", "dk").distinct().join(reps, ["id", "dk"], "left")
+    reps = copies.groupBy("h", "c").agg(F.min(F.struct("id", "dk", F.element_at("pos", 1).alias("pos"))).alias("r"), F.sum(F.size("pos")).alias("n"), F.max("multi").alias("multi"))
+    chunks = reps.where("multi").groupBy("h").agg(F.ceil(F.count("*") / unit).alias("chunks"))
+    reps = materialise(reps.join(materialise(chunks, found), "h", "left").drop("multi"), found, 200_000)
+    place = F.struct("h", "c", "pos", "r", "n", "chunks")
+    own = (F.col("r.id") == F.col("id")) & (F.col("r.dk") == F.col("dk")) & (F.col("n") > 1)
+    touched = copies.join(reps, ["h", "c"]).groupBy("id", "dk").agg(F.collect_list(place).cast(PLACES).alias("places"), F.max(own).alias("witness"))
     many = docs.count()
     texts = materialise(docs.join(touched, ["id", "dk"]), many, 5000)
-    contexts = texts.where("reps is not null").select("text", "reps").mapInArrow(_contexts(size, gram), "h long, c long, chunk long, left long, bytes binary")
+    asked = texts.select("id", "dk", "text", F.transform("places", lambda x: F.struct(x["r"].alias("r"), x["pos"].alias("pos"))).alias("asks"))
+    made = [copies, reps, texts]
+    if _differ(asked, texts.where("witness").select("id", "dk", "text"), size - gram, size):
+        return _undo(made)
+    contexts = texts.where(F.exists("places", lambda x: x["chunks"].isNotNull())).select("id", "dk", "text", "places").mapInArrow(_contexts(size, gram), "h long, c long, chunk long, left long, bytes binary")
     contexts = contexts.repartition("h", "chunk").sortWithinPartitions("h", "chunk", "c").select("h", "c", "chunk", "left", "bytes")
     spans = "array<struct<a:int,b:int>>"
     hits = materialise(contexts.mapInArrow(_repeats(size, gram, unit), f"h long, c long, spans {spans}, gaps array<struct<a:int,w:long,n:int>>"), found, 50_000)
+    made.append(hits)
     ranges = hits.select("h", "c", "spans")
     gaps = hits.where(F.size("gaps") > 0).select("h", "c", F.inline("gaps"))
     if has_rows(gaps):
-        twice = gaps.groupBy("h", "a", "w").agg(F.sum("n").alias("times")).where("times > 1")
-        late = gaps.where("n = 1").join(twice, ["h", "a", "w"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("a"), F.col("a").alias("b"))).alias("late"))
+        twice = gaps.groupBy("h", "a", "w").agg(F.sum("n").alias("times"), F.min("c").alias("least"), F.max("c").alias("most")).where("times > 1")
+        late = materialise(gaps.where("n = 1").join(twice, ["h", "a", "w"]).select("h", "c", "a", F.when(F.col("c") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other")))
+        made.append(late)
+        if _late_differ(late, reps, texts, size):
+            return _undo(made)
+        late = late.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("a"), F.col("a").alias("b"))).alias("late"))
         ranges = ranges.join(late, ["h", "c"], "left").select("h", "c", F.concat("spans", F.coalesce("late", F.array().cast(spans))).alias("spans"))
-    ranges = ranges.where(F.size("spans") > 0).withColumn("multi", F.lit(True))
-    places = copies.join(ranges, ["h", "c", "multi"], "left").where("not multi or spans is not null")
-    places = places.groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "multi", "spans")).alias("places"))
-    cut = texts.select("id", "dk", "text").join(places, ["id", "dk"]).mapInArrow(_cut(size, gram), "id long, dk long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    places = copies.where("multi").join(ranges.where(F.size("spans") > 0), ["h", "c"]).groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
+    copied = F.transform(F.filter("places", lambda x: x["chunks"].isNull()), lambda x: x["pos"])
+    cut = texts.select("id", "dk", "text", copied.alias("copied")).join(places, ["id", "dk"], "left").where("found is not null or size(copied) > 0")
+    cut = cut.select("id", "dk", "text", "copied", "found").mapInArrow(_cut(size, gram, words, whole), "id long, dk long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = materialise((cut if with_text else cut.drop("kept")).where("n_removed > 0").dropDuplicates(["id", "dk"]), many, 5000)
-    for done in (copies, texts, hits):
-        drop(done)
+    _undo(made)
     return cut
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
-    """``docs`` with the keys ``_id`` and ``_dk`` that :func:`cut_repeats` returns as id and dk."""
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.withColumns({"_id": id_, "_dk": F.xxhash64(id_, F.coalesce(F.col("text").cast("string"), F.lit("")))})
+def _undo(made: list[DataFrame]) -> None:
+    for done in made:
+        drop(done)
+
+
+def _late_differ(late: DataFrame, reps: DataFrame, texts: DataFrame, size: int) -> bool:
+    """Do strings that units of one anchor told each other by digest (h, c, a, other) differ in their bytes?"""
+    mine = reps.select("h", "c", F.col("r").alias("m"))
+    theirs = reps.select("h", F.col("c").alias("other"), F.col("r").alias("t"))
+    both = late.join(mine, ["h", "c"]).join(theirs, ["h", "other"])
+    at = F.struct(F.col("t.id").alias("id"), F.col("t.dk").alias("dk"), (F.col("t.pos") + F.col("a")).alias("pos"))
+    asks = both.select("m.id", "m.dk", F.struct(at.alias("r"), F.array(F.col("m.pos") + F.col("a")).alias("pos")).alias("ask"), F.struct("t.id", "t.dk").alias("t"))
+    texts = texts.select("id", "dk", "text")
+    asked = texts.join(asks.groupBy("id", "dk").agg(F.collect_list("ask").alias("asks")), ["id", "dk"])
+    return _differ(asked, texts.join(asks.select("t.id", "t.dk").distinct(), ["id", "dk"], "left_semi"), 0, size)
+
+
+def _report(docs: DataFrame) -> tuple:
+    """doc_id null as a number, and the digest that :func:`cut_repeats` calls dk."""
+    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    return id_, F.xxhash64(id_, F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def repeat_report(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -285,26 +419,32 @@ def repeat_report(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     Removed is each byte covered by a string of ``size`` bytes that also starts anywhere else, in the
     same or another row; strings are judged on the input and do not cross rows. Null text counts as
     empty, a text below ``size`` bytes loses nothing, repeated rows are copies of each other and get equal
-    results, an empty table gives no rows, and other columns are ignored.
+    results, an empty table gives no rows, and other columns are ignored. Very long texts are read in runs
+    of 1 MB that overlap, with the same result as at once. Where several places tie, all of them go.
     """
+    docs = docs.select("doc_id", "text")
     cut = cut_repeats(docs, size, gram, with_text=False)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = with_digest(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "_id", "_dk", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    out = every.join(cut, (F.col("_id") == F.col("id")) & (F.col("_dk") == F.col("dk")), "left")
+    id_, dk = _report(docs)
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_.alias("id"), dk.alias("dk"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    out = every.join(cut, ["id", "dk"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: int = 0) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (bytes of cut characters go too) and n_chars counted anew.
 
-    Rows stay as they are where nothing repeats; a row of which nothing is left keeps an empty text.
+    With ``words``, a run of repeated strings of ``size`` bytes goes only if it has so many words (cut words count)
+    or :data:`SIZE` bytes. Rows stay as they are where nothing repeats, as do null and empty texts; a row of which
+    nothing is left keeps an empty text. Rows may repeat or have no doc_id: equal ones are copies of each other and
+    lose the same. Very long texts are read in runs, further columns of any name come through, and an empty table
+    stays empty.
     """
-    cut = cut_repeats(docs, size, gram).select(F.col("id").alias("_cut_id"), F.col("dk").alias("_cut_dk"), F.col("kept").alias("_cut_text"))
-    out = with_digest(docs).join(cut, (F.col("_id") == F.col("_cut_id")) & (F.col("_dk") == F.col("_cut_dk")), "left")
-    rest = F.make_valid_utf8(F.col("_cut_text").cast("string"))
-    same = F.col("_cut_text").isNull()
-    out = out.withColumn("text", F.when(same, F.col("text")).otherwise(rest))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    cut = cut_repeats(docs, size, gram, words=words)
+    id_, dk = _report(docs)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_.alias("id"), dk.alias("dk"))
+    out = packed.join(cut.select("id", "dk", F.make_valid_utf8(F.col("kept").cast("string")).alias("rest")), ["id", "dk"], "left")
+    changed = {"text": F.col("rest"), "n_chars": F.char_length("rest")}
+    columns = [F.when(F.col("rest").isNull(), F.col("row")[c]).otherwise(changed[c].cast(docs.schema[c].dataType)) if c in changed else F.col("row")[c] for c in docs.columns]
+    return out.select(*(x.alias(c) for x, c in zip(columns, docs.columns, strict=True)))

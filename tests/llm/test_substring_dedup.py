@@ -84,3 +84,53 @@ def test_column_wise_order_finds_what_comparison_finds():
     for j, s in enumerate(strings):
         for t in range(width - size + 1):
             assert found[j, t] == any(i != j and group[i] == group[j] and strings[i][t : t + size] == s[t : t + size] for i in range(60))
+
+
+def test_digests_that_collide_change_nothing(spark):
+    size = 40
+    rows = corpus(size, 7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {(-(1 << 63) if i is None else i, n, s, d) for i, _, n, s, d in brute(rows, size) if n}
+    for unit in (4096, 3):
+        assert {(r.id, r.n_removed, r.n_spans, r.kept_sha256) for r in cut_repeats(df, size, 12, unit, bits=2).collect()} == want
+
+
+def few_words(rows, size, words, whole):
+    """Brute force of runs that go although only long passages do."""
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[s : s + size] for b in texts for s in range(len(b) - size + 1))
+    out = {}
+    for (i, _), b in zip(rows, texts, strict=True):
+        gone = set()
+        for s in range(len(b) - size + 1):
+            if seen[b[s : s + size]] > 1:
+                gone |= set(range(s, s + size))
+        kept, at = b"", 0
+        while at < len(b):
+            end = at
+            while end in gone:
+                end += 1
+            if end == at:
+                kept, at = kept + b[at : at + 1], at + 1
+            else:
+                if len(b[at:end].split()) < words and end - at < whole:
+                    kept += b[at:end]
+                at = end
+        out[i] = kept.decode(errors="replace")
+    return out
+
+
+def test_only_long_passages_go(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(n))
+    passages = [text(20), text(51), text(52), text(60), text(80), "x" * 210, "y" * 401, text(300)]
+    rows = [(k, f"{text(r.randint(1, 90))} {passages[k % 8]} {text(r.randint(0, 50))}") for k in range(32)] + [(40, None), (41, "")]
+    df = spark.createDataFrame([(i, t, len(t or ""), 1, 2, 3) for i, t in rows], "doc_id long, text string, n_chars long, id int, dk int, `row.x` int").repartition(5)
+    got = remove_repeats(df, 100, 32, 51)
+    assert got.columns == df.columns
+    want = few_words(rows, 100, 51, 400)
+    for x in got.collect():
+        assert (x.text or "") == want[x.doc_id] and x.n_chars == len(want[x.doc_id]) and tuple(x)[3:] == (1, 2, 3)
+        p = passages[x.doc_id % 8]
+        if x.doc_id < 32:
+            assert (p in x.text) == (len(p.split()) < 51 and len(p) < 400)
