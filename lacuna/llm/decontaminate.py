@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise, small_batches
+from ._store import small_batches
 
 Q = 8
 SLICE_CHARS = 8 << 20
 STEP = 1 << 20
 BITS = 22
+#: Pairs of equal q-grams that are listed at once; a q-gram with more in one buffer is counted by its places.
+PAIRS = 1 << 20
 U = np.uint64
 
 
@@ -65,6 +67,57 @@ class Index:
         self.table[_slot(self.gram)] = True
         self.longest = int(self.length.max(initial=0))
 
+    def counts(self, at: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Equal q-grams by item and diagonal band: item << 40 | band in order, and their number.
+
+        ``at`` are places in a buffer and ``u`` the q-grams there. Memory is bounded by ``PAIRS`` and the number of
+        bands, however often text and passages repeat themselves.
+        """
+        n = self.first[u + 1] - self.first[u]
+        times = np.bincount(u, minlength=len(self.gram))[u]
+        heavy = n * times > PAIRS
+        keys, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for gram in np.unique(u[heavy]).tolist():
+            places = at[u == gram]
+            span = slice(int(self.first[gram]), int(self.first[gram + 1]))
+            item, start = np.unique(self.item[span], return_index=True)
+            for k, p in zip(item.tolist(), np.split(self.place[span], start[1:]), strict=True):
+                low, found = self._bands(places, p, int(self.edits[k]) + 1)
+                some = np.flatnonzero(found)
+                keys.append(k << 40 | (some + low + self.longest // (int(self.edits[k]) + 1) + 1))
+                numbers.append(found[some])
+        at, u, n = at[~heavy], u[~heavy], n[~heavy]
+        total = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            m = n[a:b]
+            hit = np.repeat(self.first[u[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            item = self.item[hit]
+            width = self.edits[item] + 1
+            band = (np.repeat(at[a:b], m) - self.place[hit]) // width + self.longest // width + 1
+            key, count = np.unique(item << 40 | band, return_counts=True)
+            keys.append(key)
+            numbers.append(count)
+            a = b
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(back, np.concatenate(numbers), len(key)).astype(np.int64)
+
+    @staticmethod
+    def _bands(at: np.ndarray, places: np.ndarray, width: int) -> tuple[int, np.ndarray]:
+        """The lowest band, and for it and those above how many pairs of ``at`` (in order) and ``places`` it holds."""
+        low, high = int(at[0] - places.max()) // width, int(at[-1] - places.min()) // width
+        edges = np.arange(low, high + 2) * width
+        out = np.zeros(len(edges) - 1, np.int64)
+        if len(edges) < len(at):
+            step = max(1, PAIRS // len(edges))
+            for i in range(0, len(places), step):
+                out += np.diff(np.searchsorted(at, edges[None, :] + places[i : i + step, None]), axis=1).sum(axis=0)
+        else:
+            for p in places.tolist():
+                out += np.bincount((at - p) // width - low, minlength=len(out))
+        return low, out
+
     def regions(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(item, lowest diagonal) of the double bands that hold enough shared q-grams."""
         g = _grams(buffer)
@@ -75,12 +128,7 @@ class Index:
         u[u == len(self.gram)] = 0
         real = self.gram[u] == g[at]
         at, u = at[real], u[real]
-        n = self.first[u + 1] - self.first[u]
-        hit = np.repeat(self.first[u], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item = self.item[hit]
-        width = self.edits[item] + 1
-        band = (np.repeat(at, n) - self.place[hit]) // width + self.longest // width + 1
-        key, count = np.unique(item << 40 | band, return_counts=True)
+        key, count = self.counts(at, u)
         # a match may lie astride two bands: count each band with the one after it, and the first also with the one before
         follows = np.zeros(len(key), bool)
         follows[:-1] = key[1:] == key[:-1] + 1
@@ -152,39 +200,65 @@ def document_leaks(text: str | None, index: Index) -> dict[int, tuple[int, int,
     return found
 
 
+def all_leaks(column: pa.Array, index: Index) -> Iterator[tuple[int, dict[int, tuple[int, int, int]]]]:
+    """Number and leaks of every text that may hold a passage."""
+    texts = [normalise(t) for t in column.to_pylist()]
+    held: list[int] = []
+    size = 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or size + len(texts[i]) > STEP:
+            # short documents go through the filter as one buffer; only those with a region are looked at
+            buffer = b"\n".join(_byte_per_char(texts[x]) for x in held)
+            ends = np.cumsum([len(texts[x]) + 1 for x in held])
+            item, diagonal = index.regions(buffer)
+            middle = np.clip(diagonal + index.length[item] // 2 + index.edits[item], 0, max(len(buffer) - 1, 0)) if len(item) else item
+            touched = {held[x] for x in np.searchsorted(ends, middle, "right").tolist() if x < len(held)}
+            if index.short:
+                touched |= set(held)
+            for x in sorted(touched):
+                yield x, document_leaks(texts[x], index)
+            held, size = [], 0
+        if i < len(texts):
+            if len(texts[i]) > STEP:
+                yield i, document_leaks(texts[i], index)
+            else:
+                held.append(i)
+                size += len(texts[i]) + 1
+
+
 def _search(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, rate)
         for batch in batches:
-            rows: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), [normalise(t) for t in batch.column(1).to_pylist()]
-            held: list[int] = []
-            size = 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or size + len(texts[i]) > STEP:
-                    # short documents go through the filter as one buffer; only those with a region are looked at
-                    buffer = b"\n".join(_byte_per_char(texts[x]) for x in held)
-                    ends = np.cumsum([len(texts[x]) + 1 for x in held])
-                    item, diagonal = index.regions(buffer)
-                    middle = np.clip(diagonal + index.length[item] // 2 + index.edits[item], 0, max(len(buffer) - 1, 0)) if len(item) else item
-                    touched = {held[x] for x in np.searchsorted(ends, middle, "right").tolist() if x < len(held)}
-                    if index.short:
-                        touched |= set(held)
-                    for x in sorted(touched):
-                        rows += [(ids[x], index.ids[k], *v) for k, v in document_leaks(texts[x], index).items()]
-                    held, size = [], 0
-                if i < len(texts):
-                    if len(texts[i]) > STEP:
-                        rows += [(ids[i], index.ids[k], *v) for k, v in document_leaks(texts[i], index).items()]
-                    else:
-                        held.append(i)
-                        size += len(texts[i]) + 1
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[x], index.ids[k], *v) for x, found in all_leaks(batch.column(1), index) for k, v in found.items()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "start", "stop"])
 
     return run
 
 
+def _clean(shared, rate: float, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value, rate)
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            stays[[x for x, found in all_leaks(batch.column(text).cast(pa.string()), index) if found]] = False
+            yield batch.filter(pa.array(stays))
+
+    return run
+
+
+def _passages(benchmark: DataFrame, slice_chars: int) -> Iterator:
+    """The normalised passages as broadcasts of about ``slice_chars`` characters each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("trim(text) <> ''")
+    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    slices = -(-size // (slice_chars // 2)) if size > slice_chars else 1
+    for k in range(slices):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, t) for r in part.collect() if (t := normalise(r.text))])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, start, stop) for every benchmark passage that a document holds.
 
@@ -194,26 +268,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, slice_c
     are kept and aligned. start and stop bound the region, in characters of the normalised text.
 
     The passages are broadcast in slices of at most ``slice_chars`` characters, each a pass over the
-    documents. Null and empty texts hold nothing; null and empty passages are held by nothing; passages
+    documents. A very long text is searched in overlapping runs of ``STEP`` characters. Of regions of one
+    passage the one with fewest edits counts, of ties the first. Null and empty texts hold nothing; null and empty passages are held by nothing; passages
     below Q characters must occur unchanged. Repeated rows each give their rows; a null doc_id or
     item_id is carried; passages of equal text each give a row. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("trim(text) <> ''")
-    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    slices = -(-size // (slice_chars // 2)) if size > slice_chars else 1
     out = None
-    for k in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
-        shared = spark.sparkContext.broadcast([(r.item_id, t) for r in part.collect() if (t := normalise(r.text))])
+    for shared in _passages(benchmark, slice_chars):
         found = docs.mapInArrow(_search(shared, rate), "doc_id long, item_id long, edits long, start long, stop long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage; rows with a null doc_id stay."""
-    leaked = materialise(find_leaks(docs, benchmark, rate).select("doc_id").where("doc_id is not null").distinct(), docs.count())
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark passage, see :func:`find_leaks`.
+
+    Each row is judged by its own text, whatever its doc_id, which may be null or repeated; null and empty
+    texts stay, very long ones are searched in runs, repeated rows share their fate, further columns of any
+    name come through, and an empty table stays empty.
+    """
+    small_batches(docs.sparkSession)
+    out = docs
+    for shared in _passages(benchmark, slice_chars):
+        out = out.mapInArrow(_clean(shared, rate, docs.columns.index("text")), docs.schema)
+    return out

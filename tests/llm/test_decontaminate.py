@@ -93,6 +93,43 @@ def test_nothing_to_find(spark, bench):
 
 def test_drop_leaked(spark):
     p = "a passage that is long enough to be found again somewhere"
-    docs = spark.createDataFrame([(1, "x " + p + " y", 1), (2, "clean words", 2), (None, p, 3), (3, None, 4)], "doc_id long, text string, item_id int")
-    kept = D.drop_leaked(docs, spark.createDataFrame([(7, p)], "item_id long, text string"))
-    assert kept.columns == docs.columns and sorted(x.item_id for x in kept.collect()) == [2, 3, 4]
+    rows = [(1, "x " + p + " y", 1), (2, "clean words", 2), (None, p, 3), (3, None, 4), (None, "other clean words", 5), (1, "clean, same number", 6), (4, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    for slices in (8 << 20, 40):
+        bench = spark.createDataFrame([(7, p), (8, "another one that no document holds at all")], "item_id long, text string")
+        kept = D.drop_leaked(docs, bench, slice_chars=slices)
+        assert kept.columns == docs.columns and sorted(x.item_id for x in kept.collect()) == [2, 4, 5, 6, 7]
+
+
+def test_counts_do_not_depend_on_pieces(monkeypatch):
+    """Bands of frequent q-grams, counted by places, equal those of listed pairs."""
+    r = random.Random(8)
+    items = ["ab" * 30, "abc" * 20, "a" * 50, passages(r)[2], "ab" * 15 + passages(r)[1]]
+    index = D.Index(list(enumerate(items)), 0.1)
+    for text in ("ab" * 400, "abc" * 100 + "a" * 300, passages(r)[3] + items[4] + "ab" * 70, "x"):
+        g = D._grams(text.encode("latin-1"))
+        at = np.flatnonzero(np.isin(g, index.gram))
+        u = np.searchsorted(index.gram, g[at])
+        found = []
+        for pairs in (1 << 20, 500, 1):
+            monkeypatch.setattr(D, "PAIRS", pairs)
+            key, count = index.counts(at, u)
+            found.append((key.tolist(), count.tolist()))
+        want = {}
+        for a, k in zip(at.tolist(), u.tolist(), strict=True):
+            for h in range(index.first[k], index.first[k + 1]):
+                i = int(index.item[h])
+                w = int(index.edits[i]) + 1
+                key = i << 40 | ((a - int(index.place[h])) // w + index.longest // w + 1)
+                want[key] = want.get(key, 0) + 1
+        assert all(dict(zip(*f, strict=True)) == want and f[0] == sorted(want) for f in found)
+
+
+def test_texts_that_repeat_themselves_take_bounded_memory():
+    import resource
+
+    index = D.Index([(0, "ab" * 1000)], 0.1)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = D.document_leaks("ab" * 500_000, index)
+    assert got[0][0] == 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
