@@ -32,7 +32,7 @@ TABLE = str.maketrans({**{k: DIGITS.get(v, v) for k, v in _wide.items()}, **_hid
 _sign = re.compile(r"(?<=[^\W_])[@$!]+(?=[^\W_])")
 _word = re.compile(r"[^\W_]+")
 
-#: Bounds of the training sample (labelled documents) and of the lexicon learned from it.
+#: Bounds of the model: labelled documents that it learns from, terms of its lexicon, and letters of a term.
 TRAIN_DOCS, MOST_TERMS = 12_000, 2000
 SHORTEST, LONGEST = 3, 14
 #: A term's ratio must be above 1 but for this chance.
@@ -75,7 +75,7 @@ class Lexicon:
             elif end + 1 == len(text) or not text[end + 1].isalnum():
                 spared.append((a, end))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+            hits = _outside(hits, spared)
         if not hits:
             return 0.0, 0.0
         best: dict[int, float] = {}
@@ -85,6 +85,17 @@ class Lexicon:
         return float(np.log1p(total)), float(np.log1p(100 * total / max(1, len(text.split()))))
 
 
+def _outside(hits: list[tuple[int, int, float]], spans: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """The hits (start, end, weight) that lie within no span, by one pass over both in order of start."""
+    spans, out, reach, k = sorted(spans), [], -1, 0
+    for h in sorted(hits):
+        while k < len(spans) and spans[k][0] <= h[0]:
+            reach, k = max(reach, spans[k][1]), k + 1
+        if h[1] > reach:
+            out.append(h)
+    return out
+
+
 def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For word beginnings: in how many documents of either label they occur."""
     for batch in batches:
@@ -198,8 +209,10 @@ def _score(shared):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, exceptions: Sequence[str] = EXCEPTIONS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, learned from ``labels`` (doc_id, toxic).
 
-    The score is a logistic function of the weights of a text's matches, summed and per word. Null and
-    empty texts have no match. Without toxic labels there are no terms and all score alike. Repeated
+    The score is a logistic function of the weights of a text's matches, summed and per word. Learning reads
+    ``TRAIN_DOCS`` labelled rows and keeps ``MOST_TERMS`` terms of ``SHORTEST`` to ``LONGEST`` letters, documented
+    bounds of the model alone: every text is scored whole, however long. Null and empty texts have no match. Terms
+    that tie rank by length, then by letters. Without toxic labels there are no terms and all score alike. Repeated
     rows score alike, a null doc_id counts as not held out and is never trained on, an empty table gives
     no rows; other columns are ignored. Of contradicting labels the smallest counts.
     """
