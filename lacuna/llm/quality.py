@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import small_batches
+from ._store import drop, materialise, small_batches
 
-#: Bounds of the training sample: labelled documents, and lines of each (spread evenly over it).
-TRAIN_DOCS, TRAIN_LINES = 4000, 80
+#: Bounds of the training sample: labelled documents, and their bytes together; each is taken whole.
+TRAIN_DOCS, TRAIN_BYTES = 2000, 16 << 20
 
 
 def _class(*codes: int) -> np.ndarray:
@@ -232,29 +232,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, folds: int, h
     return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("doc_id", "text", "label")
 
 
-def _train_rows(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = _text.utf8(batch.column(1))
-            rows = []
-            for i in range(batch.num_rows):
-                own = data[offsets[i] : offsets[i + 1]]
-                x, length, _ = line_features(own, np.array([0, len(own)]))
-                if len(x) > most:  # whole runs of lines, so that neighbours stay neighbours
-                    run_, runs = 8, most // 8
-                    at = np.unique((np.linspace(0, len(x) - run_, runs).astype(int)[:, None] + np.arange(run_)).ravel())
-                    x, length = x[at], length[at]
-                rows.append((x.tobytes(), length.astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "label", "x", "length"])
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = _text.utf8(batch.column(1))
+        rows = []
+        for i in range(batch.num_rows):
+            own = data[offsets[i] : offsets[i + 1]]
+            x, length, _ = line_features(own, np.array([0, len(own)]))
+            rows.append((x.tobytes(), length.astype(np.int64).tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "label", "x", "length"])
 
-    return run
 
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Model:
-    """The model fitted on at most ``most`` documents of at most ``lines`` lines each."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """The model fitted on the first labelled documents by hash: ``most``, or as many as have ``most_bytes``."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = labelled_sample(docs, labels, "quality", folds, held, most).mapInArrow(_train_rows(lines), "doc_id long, label int, x binary, length binary").collect()
+    sample = materialise(labelled_sample(docs, labels, "quality", folds, held, most), most, 500)
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen = [r["doc_id"] for r, n in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if n <= most_bytes]
+    rows = sample.where(F.col("doc_id").isin(chosen)).mapInArrow(_train_rows, "doc_id long, label int, x binary, length binary").collect()
+    drop(sample)
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(v) for v in x])
@@ -277,7 +274,8 @@ def _score(shared):
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, learned from ``labels`` (doc_id, quality).
 
-    Only the text decides the score. Null, empty and newline-only texts score the share of label 1 in
+    Only the text decides the score. Learning reads at most ``TRAIN_DOCS`` labelled rows and ``TRAIN_BYTES``;
+    every text is scored whole, however long. Null, empty and newline-only texts score the share of label 1 in
     training; without labels that is 0.5. Repeated rows score alike, a null doc_id counts as not held
     out and is never trained on, an empty table gives no rows; other columns are ignored. Of
     contradicting labels of one doc_id the smallest counts, null labels don't.
@@ -289,11 +287,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fo
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _filter(shared, threshold: float):
+def _filter(shared, threshold: float, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            data, offsets = _text.utf8(batch.column("text"))
+            data, offsets = _text.utf8(batch.column(text))
             parts = [model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in _text.pieces(offsets)]
             yield batch.filter(pa.array(np.concatenate(parts) >= threshold if parts else np.zeros(0, bool)))
 
@@ -301,6 +299,11 @@ def _filter(shared, threshold: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all columns, whatever their names.
+
+    Each row is scored as by :func:`score_quality`, so null and empty texts stay if the share of label 1 is
+    high enough, repeated rows share their fate, a null doc_id changes nothing, very long texts are
+    scored whole, and an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_filter(model, threshold), docs.schema)
+    return docs.mapInArrow(_filter(model, threshold, docs.columns.index("text")), docs.schema)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from itertools import product
 
@@ -77,6 +78,26 @@ def test_quality_on_held_out_rows(spark):
     assert by[1000] == by[1001]
 
 
+def test_quality_learns_from_whole_documents_within_bounds(spark):
+    """The first labelled documents by hash, each with all its lines, up to the bound of bytes."""
+    rows = labelled(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    few = Q.train(docs, labels, most=150, most_bytes=30_000)
+    seen = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    order = {r[0]: k for k, r in enumerate(docs.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").collect())}
+    seen, size, parts = sorted(seen, key=lambda r: order[r[0]])[:150], 0, []
+    for i, t, y in seen:
+        size += len(t.encode()) + 1
+        if size <= 30_000:
+            parts.append((i, *Q.line_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[:2], y))
+    parts.sort(key=lambda r: r[0])
+    assert 10 < len(parts) < 150
+    x, length = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    plain = Q.fit(x, length, np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts]), np.array([p[3] for p in parts]))
+    assert np.allclose(few.weight, plain.weight) and np.allclose(few.link, plain.link)
+
+
 def test_quality_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -110,6 +131,19 @@ def test_lexicon_matches_word_beginnings_but_not_exceptions():
     assert X.Lexicon({}).features("moron") == (0.0, 0.0)
 
 
+def test_exceptions_are_found_in_one_pass():
+    r = random.Random(12)
+    for _ in range(300):
+        hits = [(a, a + r.randint(0, 6), 1.0) for a in (r.randrange(60) for _ in range(12))]
+        spans = [(a, a + r.randint(0, 9)) for a in (r.randrange(60) for _ in range(8))]
+        assert X._outside(hits, spans) == sorted(h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spans))
+    lex = X.Lexicon({"trash": 2.0}, ["trash can"])
+    began = time.process_time()
+    assert lex.features("trash can " * 100_000) == (0.0, 0.0)
+    assert lex.features("trash can " * 100_000 + "trash")[0] == pytest.approx(np.log1p(2.0))
+    assert time.process_time() - began < 20
+
+
 def test_lexicon_equals_plain_search():
     r = random.Random(3)
     terms = {"abc": 1.0, "bca": 2.0, "ab": 0.5, "cc": 1.5}
