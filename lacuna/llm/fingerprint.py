@@ -101,7 +101,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many (or all) from the
     start of the next document by doc_id, after the last the first. The texts are dealt once, into at
-    most ``MOST_BUCKETS`` ranges of doc_id; each range also gets a copy of the first document of the next.
+    most ``MOST_BUCKETS`` ranges of doc_id; each range also gets a copy of the first document of the next. A very long text is hashed in
+    runs of paragraphs of bounded size.
 
     Null text: empty, its fingerprint all zero. Repeated doc_ids follow each other in order of text; null
     doc_ids come first. A single row is its own next. Empty table: no rows. Other columns are ignored.
@@ -127,7 +128,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         heads = [(0, least)]
     halo = [(heads[(i + 1) % len(heads)][1], b) for i, (b, _) in enumerate(heads)]
     halo = docs.sparkSession.createDataFrame(halo, "at long, target int")
-    copies = docs.drop("bucket").join(F.broadcast(halo), "at").select("doc_id", "text", "at", F.col("target").alias("bucket"), F.lit(True).alias("halo"))
+    # the first by text of the rows with that doc_id, found before the shuffle
+    copies = docs.drop("bucket").join(F.broadcast(halo), "at").groupBy("at", "target").agg(F.min("text").alias("text"))
+    copies = copies.select(F.lit(None).cast("long").alias("doc_id"), "text", "at", F.col("target").alias("bucket"), F.lit(True).alias("halo"))
     whole = docs.select("doc_id", "text", "at", F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("halo")).unionByName(copies)
     ordered = whole.repartition("bucket").sortWithinPartitions("bucket", "halo", "at", "text").select("bucket", "halo", "doc_id", "text")
     return ordered.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
