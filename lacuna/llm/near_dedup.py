@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
 
     Null, empty and blank texts: set size 0, own component, kept. Null doc_id: never linked, component
     null, kept. Repeated doc_ids: one node; all their texts share its component. Empty table: no rows.
+    Very long texts are hashed whole, in runs of bounded size; ties of sets go to the smallest doc_id.
     Other columns of ``docs`` are ignored.
     """
     count, share = bands * rows, numerator / denominator
@@ -210,14 +211,14 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = materialise(docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, members binary"), 2 * linked, 5000)
     left, right = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"), linked, 5000)
+    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(numerator, denominator), "a long, b long"), linked, 1000)
     named = keyed.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     split = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id").join(named, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     cc = materialise(connected_components(links.unionByName(split), 2 * linked), 2 * linked)
     cluster = materialise(connected_components(pairs, linked).select(F.col("node").alias("rep"), F.col("component").alias("key")), 2 * linked)
     apart = cluster.join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     full = apart.join(classes.select("rep", *payload), "rep").join(sets, "rep")
-    more = materialise(_units(full, [*payload, "members"], linked).mapInArrow(_across(least, numerator, denominator), "a long, b long"), linked, 5000)
+    more = materialise(_units(full, [*payload, "members"], linked).mapInArrow(_across(least, numerator, denominator), "a long, b long"), linked, 1000)
     if has_rows(more):
         cc = materialise(connected_components(more.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b"))), 3 * linked), 2 * linked)
     place = materialise(classes.select("k1", "k2", "rep").join(cc.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), n)
