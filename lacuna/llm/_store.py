@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import time
 import uuid
@@ -14,9 +15,11 @@ _released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; on one machine (tests) a fresh one where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lacuna-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,13 +54,33 @@ def materialise(df: DataFrame, rows: int | None = None, per: int = 100_000) -> D
 
 
 def _release(spark: SparkSession) -> None:
-    """Let the driver drop what nothing refers to any more, so that Spark deletes the shuffle files; now and then."""
+    """Let the driver's JVM collect its garbage, every few seconds at most.
+
+    Spark deletes a shuffle's files on the executors when the driver has collected the plan that wrote them. It
+    asks for that every half hour only; by then the files of all steps would lie on the executors' disks at once.
+    """
     global _released
     if time.monotonic() - _released > 3:
         spark._jvm.System.gc()
         _released = time.monotonic()
 
 
+def shared_file(spark: SparkSession, content: bytes) -> str:
+    """Write ``content`` to the shared folder and have every executor fetch it; returns its name for SparkFiles.
+
+    Executors that come later, as after a loss, fetch it as well.
+    """
+    name = f"lacuna-{uuid.uuid4().hex}.bin"
+    path = f"{shared_dir(spark)}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(content))
+    out.close()
+    _made.append((spark, path))
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table of :func:`materialise` that nothing will read again."""
     spark = df.sparkSession

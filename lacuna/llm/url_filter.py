@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import shared_file, small_batches
 
 #: Rules of verdict, host and path; the longest that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -25,13 +25,10 @@ def digests(keys: Sequence[str]) -> np.ndarray:
 
 
 class DigestArray:
-    """Strings in the order of their digests, in one file image: digests, string offsets, string bytes."""
+    """Strings in the order of their digests, in one file: digests, string offsets, string bytes; mapped, not read."""
 
-    def __init__(self, image: bytes):
-        with tempfile.NamedTemporaryFile() as f:  # the mapping outlives the name
-            f.write(image)
-            f.flush()
-            whole = np.memmap(f.name, np.uint8, "r")
+    def __init__(self, path: str):
+        whole = np.memmap(path, np.uint8, "r")
         n = int(whole[:8].view(np.uint64)[0])
         self.digest = whole[8 : 8 + 8 * n].view(np.uint64)
         self.offset = whole[8 + 8 * n : 16 + 16 * n].view(np.uint64)
@@ -50,11 +47,12 @@ class DigestArray:
         """Which keys are stored. ``found`` may give the keys' digests."""
         d = digests(keys) if found is None else found
         out = np.zeros(len(keys), bool)
+        if not len(self.digest):
+            return out
         at = np.searchsorted(self.digest, d)
-        for i in np.flatnonzero(at < len(self.digest)):
-            k, raw = int(at[i]), None
+        for i in np.flatnonzero(self.digest[np.minimum(at, len(self.digest) - 1)] == d):
+            k, raw = int(at[i]), keys[i].encode()
             while k < len(self.digest) and self.digest[k] == d[i]:  # several strings may share a digest
-                raw = raw or keys[i].encode()
                 if self.bytes[int(self.offset[k]) : int(self.offset[k + 1])].tobytes() == raw:
                     out[i] = True
                     break
@@ -62,14 +60,26 @@ class DigestArray:
         return out
 
 
-_open: dict[int, DigestArray] = {}
+_open: dict[str, DigestArray] = {}
 
 
-def _array(shared) -> DigestArray:
-    key = xxhash.xxh64_intdigest(shared.value)
-    if key not in _open:
-        _open[key] = DigestArray(shared.value)
-    return _open[key]
+def _array(name: str) -> DigestArray:
+    """The array in a file that the executor has fetched; all its workers map the same pages."""
+    if name not in _open:
+        _open[name] = DigestArray(SparkFiles.get(name))
+    return _open[name]
+
+
+def read_hosts(lists: DataFrame) -> list[str]:
+    """The hosts of published block lists, in order (``value`` string, as from ``spark.read.text``).
+
+    A line is a host, a line of a hosts file (address, host) or a filter ``||host^``; comments after ``#`` and
+    lines that begin with ``!`` don't count, nor do ``localhost`` and names without a dot.
+    """
+    line = F.trim(F.regexp_replace(F.lower("value"), r"#.*$|\^.*$", ""))
+    host = F.regexp_replace(F.element_at(F.split(line, r"\s+"), -1), r"^\|\||\.$", "")
+    hosts = lists.where(~F.trim("value").startswith("!")).select(host.alias("host")).where(r"host rlike '^[^/:*|]+[.][^/:*|.]+$' and not host rlike '^[0-9.]+$'")
+    return sorted(r["host"] for r in hosts.distinct().collect())
 
 
 def suffixes(host: str) -> list[str]:
@@ -78,9 +88,9 @@ def suffixes(host: str) -> list[str]:
     return [".".join(parts[i:]) for i in range(len(parts))] if host else []
 
 
-def _judge(rules_image, hosts_image, verdicts: dict[str, str], path_lengths: list[int]):
+def _judge(rules_file: str, hosts_file: str, verdicts: dict[str, str], path_lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, hosts = _array(rules_image), _array(hosts_image)
+        rules, hosts = _array(rules_file), _array(hosts_file)
         for batch in batches:
             names, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             domains: dict[str, list[str]] = {h: suffixes(h) for h in set(names)}
@@ -110,18 +120,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     A rule fits its host and all subdomains where the path starts with the rule's path; of those that
     fit, the longest wins (rules must be distinct as host + path). Where none fits, a host on the list
     ``blocked``, or a subdomain of one, is blocked and any other allowed. Both are sorted digest arrays;
-    a digest that is found counts only if the stored string is equal. The array goes to every worker, so
-    the lists may hold ``LIST_BYTES`` at most (some ten million hosts); a longer one is refused.
+    a digest that is found counts only if the stored string is equal. The arrays are files in the shared
+    folder that every executor fetches once and its workers map; they may hold ``LIST_BYTES`` at most (some
+    ten million hosts), and a longer list is refused. ``blocked`` may come from :func:`read_hosts`.
 
     Null urls and urls without ``://``: empty host and path, no rule, allowed. Repeated rows each get a
-    row, a null page_id is carried, an empty table gives none.
+    row, a null page_id is carried, an empty table gives none. Urls of any length are judged whole; no two
+    rules can tie, since equal ones would be of equal host and path.
     """
     spark = pages.sparkSession
     small_batches(spark)
     images = [DigestArray.image([h + p for _, h, p in rules]), DigestArray.image([b.lower() for b in blocked])]
     if sum(map(len, images)) > LIST_BYTES:
         raise ValueError(f"filter lists above {LIST_BYTES} bytes")
-    shared = [spark.sparkContext.broadcast(x) for x in images]
+    shared = [shared_file(spark, x) for x in images]
     there = F.instr("url", "://")
     rest = F.when(there > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

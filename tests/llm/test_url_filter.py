@@ -32,15 +32,30 @@ def test_equals_brute_force(spark):
     assert U.judge_urls(df.limit(0)).collect() == []
 
 
-def test_equal_digests_are_told_apart(monkeypatch):
+def array(keys, tmp_path):
+    (tmp_path / "list").write_bytes(U.DigestArray.image(keys))
+    return U.DigestArray(str(tmp_path / "list"))
+
+
+def test_equal_digests_are_told_apart(monkeypatch, tmp_path):
     monkeypatch.setattr(U, "digests", lambda keys: __import__("numpy").array([len(k) for k in keys], "uint64"))
     keys = ["aa", "bb", "ccc", "dd"]
-    a = U.DigestArray(U.DigestArray.image(keys))
+    a = array(keys, tmp_path)
     assert a.contains(["aa", "bb", "dd", "ee", "ccc", "ddd", ""]).tolist() == [True, True, True, False, True, False, False]
 
 
-def test_empty_list():
-    assert not U.DigestArray(U.DigestArray.image([])).contains(["a"]).any()
+def test_empty_list(tmp_path):
+    assert not array([], tmp_path).contains(["a"]).any()
+
+
+def test_published_lists(spark, tmp_path):
+    (tmp_path / "hosts.txt").write_text("# list\n0.0.0.0 Ads.example.io # x\n127.0.0.1 localhost\n||tracker.io^\n! no.example.io\nplain.example.io\n\n10.0.0.1\nplain.example.io.\n")
+    hosts = U.read_hosts(spark.read.text(str(tmp_path)))
+    assert hosts == ["ads.example.io", "plain.example.io", "tracker.io"]
+    df = spark.createDataFrame([(1, "http://a.tracker.io/x"), (2, "http://nottracker.io/"), (3, "https://plain.example.io")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in U.judge_urls(df, (), hosts).collect()} == {1: "block", 2: "allow", 3: "block"}
+    many = [f"h{i}.example.io" for i in range(50_000)]
+    assert array(many, tmp_path).contains([*many[::7], "h50000.example.io", "x.example.io"]).sum() == len(many[::7])
 
 
 def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
