@@ -55,8 +55,8 @@ def format_chat(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str,
     ``status`` is ok; for calls: no_result where some call has none, invalid with the arguments' errors;
     for results: orphan. Null text: content null. Null conv_id or identifier: never linked, and no result is missed. Rows with
     equal conv_id and turn (and repeated rows) keep an order by role and text. Empty table: no rows.
-    Other columns are ignored. A long conversation is never in one task: positions are counted in
-    segments of ``SEGMENT`` turns.
+    Other columns are ignored; texts of any length are serialised whole. A long conversation is never in one
+    task: positions are counted in segments of ``SEGMENT`` turns (rows of one turn are in one).
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     is_json = F.col("text").startswith("{")
@@ -68,7 +68,12 @@ def format_chat(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str,
     answered = t.where("id is not null").select("conv_id", "id").distinct()
     open_ = first.join(answered, ["conv_id", "id"], "left_anti").select("conv_id", F.col("linked_turn").alias("turn")).distinct().withColumn("unanswered", F.lit(True))
 
-    t = t.join(first, ["conv_id", "id"], "left").join(open_, ["conv_id", "turn"], "left")
+    # only results are joined to calls and only calls to what is open, so that no other turn is dealt by a null key
+    is_call, is_result = F.size("calls") > 0, F.col("id").isNotNull()
+    results = t.where(is_result).join(first, ["conv_id", "id"], "left").withColumn("unanswered", F.lit(None).cast("boolean"))
+    made = t.where(is_call).join(open_, ["conv_id", "turn"], "left").withColumn("linked_turn", F.lit(None).cast("long"))
+    plain_ = t.where(~is_call & ~is_result).withColumns({"linked_turn": F.lit(None).cast("long"), "unanswered": F.lit(None).cast("boolean")})
+    t = plain_.unionByName(results).unionByName(made)
     t = t.withColumn("at", F.coalesce("linked_turn", "turn")).withColumn("after", F.when(F.col("linked_turn").isNotNull(), 1).otherwise(0)).withColumn("segment", F.floor(F.col("at") / SEGMENT))
     ahead = t.groupBy("conv_id", "segment").agg(F.count("*").alias("n"))
     ahead = ahead.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), (F.sum("n").over(W.partitionBy("conv_id").orderBy(F.col("segment").asc_nulls_first())) - F.col("n")).alias("ahead"))
