@@ -150,10 +150,11 @@ def _canonical(text: str) -> str:
 ORACLES["op2_license_scan"] = f"""
 WITH k(license, text) AS (VALUES {", ".join(f"({_literal(i)}, {_literal(t)})" for i, t in licenses.KNOWN)}),
 known AS (SELECT sha256(b) AS digest, min(license) AS license FROM (SELECT license, array_to_string({_canonical("text")}, ' ') AS b FROM k) GROUP BY 1),
+listed AS (SELECT digest, min(license) AS license FROM (FROM known UNION ALL SELECT digest, license FROM (VALUES {", ".join(f"({_literal(i)}, {_literal(t)})" for i, t in licenses.DIGESTS)}) t(license, digest)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS id, doc_id, {_canonical("coalesce(text, '')")} AS lines FROM documents),
 n AS (SELECT id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT id, unnest(lines) AS line FROM d) JOIN known ON digest = sha256(line) GROUP BY id)
-SELECT d.doc_id, sha256(array_to_string(d.lines, ' ')) AS digest, known.license, coalesce(n.notices, '') AS notices
-FROM d LEFT JOIN known ON known.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN n USING (id)
+SELECT d.doc_id, sha256(array_to_string(d.lines, ' ')) AS digest, listed.license, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN listed ON listed.digest = sha256(array_to_string(d.lines, ' ')) LEFT JOIN n USING (id)
 """
 
 # The conversations hold no tool calls; linking is tested on fixtures.
