@@ -65,6 +65,12 @@ def _release(spark: SparkSession) -> None:
         _released = time.monotonic()
 
 
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows that an Arrow function keeps; it gets all columns in order, whatever their names (dots, too)."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 def shared_file(spark: SparkSession, content: bytes) -> str:
     """Write ``content`` to the shared folder and have every executor fetch it; returns its name for SparkFiles.
 

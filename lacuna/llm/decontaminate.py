@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import filter_rows, small_batches
 
 Q = 8
 SLICE_CHARS = 8 << 20
@@ -292,5 +292,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, slice_
     small_batches(docs.sparkSession)
     out = docs
     for shared in _passages(benchmark, slice_chars):
-        out = out.mapInArrow(_clean(shared, rate, docs.columns.index("text")), docs.schema)
+        out = filter_rows(out, _clean(shared, rate, docs.columns.index("text")))
     return out

@@ -241,4 +241,4 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     out = docs.join(ids, "doc_id", "left_anti")
     if has_rows(again := ids.where("n >= 1")):
         out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

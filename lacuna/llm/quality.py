@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import drop, materialise, small_batches
+from ._store import drop, filter_rows, materialise, small_batches
 
 #: Bounds of the training sample: labelled documents, and their bytes together; each is taken whole.
 TRAIN_DOCS, TRAIN_BYTES = 2000, 16 << 20
@@ -306,4 +306,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     scored whole, and an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_filter(model, threshold, docs.columns.index("text")), docs.schema)
+    return filter_rows(docs, _filter(model, threshold, docs.columns.index("text")))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -80,3 +81,78 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def least_edits(pattern, text):
+    """Edit distance between the pattern and its best substring, column by column."""
+    code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    text, ramp = code(text), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for c in code(pattern):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (text != c))
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return int(row.min())
+
+
+def test_leaks_equal_brute_force(spark, stages):
+    """A passage of m characters is held with at most a tenth of edits, or (m - 8) / 8 where that is less."""
+    flat = lambda t: " ".join((t or "").lower().split())
+    items = [flat(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()][:12]
+    rows = [(r.doc_id, flat(r.text)) for r in stages[3].collect()]
+    items = [i for i in items if i]
+    docs = [(r.doc_id, r.text) for r in stages[3].collect()]
+    for k, p in enumerate(items):  # planted with more and more characters changed
+        every = max(2, 60 // (k + 1))
+        docs.append((10_000 + k, f"{rows[k][1][:500]} {''.join('#' if i % every == 1 else c for i, c in enumerate(p))} {rows[k + 1][1][:300]}"))
+    rows += [(i, flat(t)) for i, t in docs[len(rows) :]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = {r.doc_id for r in decontaminate.drop_leaked(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {i for i, t in rows if not any(least_edits(p, t) <= min(len(p) // 10, (len(p) - 8) // 8) for p in items)}
+    assert kept == want and len(rows) - 10 < len(want) < len(rows) - 2
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id long, dk long, rep long, score double, `a.b` string, row string"
+
+
+def odd_rows():
+    """Nulls in every column, empty, blank and long texts, repeated rows and names that operators use themselves."""
+    prose = [words(120, 7000 + k) for k in range(12)]
+    rows = [(k, t, "en", "web", len(t), k, -k, 5, 0.5, "x", "r") for k, t in enumerate(prose)]
+    rows += [rows[2], rows[2], (None, prose[3], None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+    rows += [(60, "", "en", "web", 0, 1, 1, 1, 1.0, "y", "r"), (61, " \n\t ", "en", "web", 4, 1, 1, 1, 1.0, "y", "r"), (4, words(90, 1), "en", None, 1, 1, 1, 1, 1.0, "y", "r")]
+    return rows + [(62, "\n".join(words(12, 8000 + k) for k in range(9000)), "en", "long", 1, 1, 1, 1, 1.0, "y", "r")]
+
+
+def test_odd_rows_pass_through_every_stage(spark):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, DIR))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = sorted(map(tuple, out.collect()), key=str)
+        if name == "near_dedup":
+            assert [r[0] for r in got].count(2) == 1 and [r[0] for r in got].count(None) == 2
+        elif name == "substring_dedup":
+            # the text with no doc_id that equals another goes from both
+            assert all(r[1] == "" for r in got if r[0] == 3 or r[0] is None and r[1] is not None)
+            assert all(any(r[0] == x[0] and r[5:] == x[5:] for x in rows) for r in got)
+        else:
+            assert all(r in rows for r in got)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR).collect()
+    assert len(mixed) == len(rows) and sum(r.size for r in mixed) == sum(len((t[1] or "").split()) for t in rows)
+
+
+def test_empty_table_passes_through_every_stage(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DIR).collect() == []
+
+
+def test_run_with_odd_rows(spark, tmp_path):
+    spark.createDataFrame(odd_rows(), ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in odd_rows()} and len(got) > 8
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
