@@ -146,8 +146,9 @@ def _contexts(size: int, gram: int):
 def _asks(before: int, after: int):
     """What each text holds where a representative is said to hold the same, in pieces of the latter's blocks.
 
-    From id, dk, text and a list of (r, pos): the bytes from ``before`` below to ``after`` above each place;
-    overlapping ranges with one representative and shift are one.
+    From id, dk, text and a list of (r, pos): the bytes from ``before`` below to ``after`` above the first place;
+    overlapping ranges with one representative and shift are one. Further places in the same text are compared
+    with the first here; where they differ, a row asks for a block that no text has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +158,14 @@ def _asks(before: int, after: int):
             r, pos = listed.flatten().flatten()
             row = np.repeat(np.arange(len(batch)), listed.value_lengths().to_numpy())
             each = np.repeat(np.arange(len(r)), pos.value_lengths().to_numpy())
-            p, doc = pos.flatten().to_numpy().astype(np.int64), row[each]
-            rid, rdk, rpos = (x.to_numpy()[each] for x in r.flatten())
+            p = pos.flatten().to_numpy().astype(np.int64)
+            lead = np.ones(len(p), bool)
+            lead[1:] = each[1:] != each[:-1]
+            at = np.flatnonzero(lead)[each] if len(p) else each
+            lo, hi = np.maximum(0, p - before) + offsets[row[each]], np.minimum(np.diff(offsets)[row[each]], p + after) + offsets[row[each]]
+            same = all(p[k] - lo[k] == p[j] - lo[j] and np.array_equal(data[lo[k] : hi[k]], data[lo[j] : hi[j]]) for k, j in zip(np.flatnonzero(~lead).tolist(), at[~lead].tolist(), strict=True))
+            p, doc = p[lead], row
+            rid, rdk, rpos = (x.to_numpy() for x in r.flatten())
             other = (rid != batch.column(0).to_numpy()[doc]) | (rdk != batch.column(1).to_numpy()[doc]) | (rpos != p)
             p, doc, rid, rdk, shift = p[other], doc[other], rid[other], rdk[other], (rpos - p)[other]
             order = np.lexsort((p, shift, rdk, rid, doc))
@@ -168,7 +175,7 @@ def _asks(before: int, after: int):
             new[1:] = (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (rdk[1:] != rdk[:-1]) | (shift[1:] != shift[:-1]) | (lo[1:] > hi[:-1])
             first = np.flatnonzero(new)
             last = np.append(first, len(p))[1:] - 1
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], []) if same else ([0], [0], [-1], [0], [b"x"])
             for k, e in zip(first.tolist(), (hi[last] + shift[last]).tolist(), strict=True):
                 a, base = int(lo[k] + shift[k]), int(offsets[doc[k]] - shift[k])
                 for s in range(a - a % BLOCK, e, BLOCK):
