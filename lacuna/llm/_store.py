@@ -49,11 +49,11 @@ def materialise(df: DataFrame, rows: int | None = None, per: int = 100_000) -> D
     _made.append((spark, path))
     schema = df.schema
     del df
-    _release(spark)
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Let the driver's JVM collect its garbage, every few seconds at most.
 
     Spark deletes a shuffle's files on the executors when the driver has collected the plan that wrote them. It

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import drop, has_rows, materialise
+from ._store import drop, has_rows, materialise, release
 
 SIZE, GRAM = 400, 128
 BLOCK = 4096
+#: Up to so many strings that units tell each other are broadcast (some 60 bytes each), beyond that they are shuffled.
+FEW = 50_000
 U = np.uint64
 PLACE = U(0xFFFFFF)
 
@@ -204,7 +206,9 @@ def _differ(asked: DataFrame, witnesses: DataFrame, before: int, after: int) ->
     here = asked.mapInArrow(_asks(before, after), "id long, dk long, block int, at int, here binary")
     there = witnesses.mapInArrow(_blocks, "id long, dk long, block int, there binary")
     both = here.join(there, ["id", "dk", "block"], "left")
-    return has_rows(both.where("not coalesce(substring(there, at + 1, octet_length(here)) = here, false)"))
+    differ = has_rows(both.where("not coalesce(substring(there, at + 1, octet_length(here)) = here, false)"))
+    release(asked.sparkSession)
+    return differ
 
 
 def repeated(strings: list[bytes], left: np.ndarray, group: np.ndarray, size: int = SIZE, gram: int = GRAM) -> np.ndarray:
@@ -404,14 +408,16 @@ def _undo(made: list[DataFrame]) -> None:
 
 def _late_differ(late: DataFrame, reps: DataFrame, texts: DataFrame, size: int) -> bool:
     """Do strings that units of one anchor told each other by digest (h, c, a, other) differ in their bytes?"""
-    mine = reps.select("h", "c", F.col("r").alias("m"))
-    theirs = reps.select("h", F.col("c").alias("other"), F.col("r").alias("t"))
-    both = late.join(mine, ["h", "c"]).join(theirs, ["h", "other"])
+    small = F.broadcast if late.count() <= FEW else (lambda d: d)
+    mine = reps.join(small(late), ["h", "c"]).select("h", "other", "a", F.col("r").alias("m"))
+    both = materialise(reps.select("h", F.col("c").alias("other"), F.col("r").alias("t")).join(small(mine), ["h", "other"]))
     at = F.struct(F.col("t.id").alias("id"), F.col("t.dk").alias("dk"), (F.col("t.pos") + F.col("a")).alias("pos"))
     asks = both.select("m.id", "m.dk", F.struct(at.alias("r"), F.array(F.col("m.pos") + F.col("a")).alias("pos")).alias("ask"), F.struct("t.id", "t.dk").alias("t"))
     texts = texts.select("id", "dk", "text")
-    asked = texts.join(asks.groupBy("id", "dk").agg(F.collect_list("ask").alias("asks")), ["id", "dk"])
-    return _differ(asked, texts.join(asks.select("t.id", "t.dk").distinct(), ["id", "dk"], "left_semi"), 0, size)
+    asked = texts.join(small(asks.groupBy("id", "dk").agg(F.collect_list("ask").alias("asks"))), ["id", "dk"])
+    differ = _differ(asked, texts.join(small(asks.select("t.id", "t.dk").distinct()), ["id", "dk"], "left_semi"), 0, size)
+    drop(both)
+    return differ
 
 
 def _report(docs: DataFrame) -> tuple:
