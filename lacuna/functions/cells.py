@@ -106,3 +106,12 @@ def smooth(n: Column) -> Column:
     for p in (2, 3, 5, 7):
         rest = without(rest, p)
     return rest.isin(1, 11, 13)
+
+
+def unix_ms(stamp: Column) -> Column:
+    """Whole milliseconds since 1970 of a timestamp, with or without a time zone."""
+    return F.unix_millis(stamp.cast("timestamp"))
+
+
+def from_unix_ms(ms: Column) -> Column:
+    return F.timestamp_millis(ms)

@@ -24,11 +24,18 @@ def prune(stats: DataFrame, by: list[str], power: float, least: int) -> DataFram
 
 
 def narrowness(values: DataFrame, by: str, share: float = 0.5) -> DataFrame:
-    """The spread of the middle ``share`` of each group's values: one sorted value minus another."""
-    v = values.groupBy(by).agg(F.sort_array(F.collect_list("value")).alias("v")).withColumn("n", F.size("v"))
-    hi = F.least(F.col("n"), F.floor((0.5 + share / 2) * F.col("n")) + 1).cast("int")
-    lo = F.least(F.col("n"), F.ceil((0.5 - share / 2) * F.col("n")) + 1).cast("int")
-    return v.select(by, "n", (F.element_at("v", hi) - F.element_at("v", lo)).alias("spread"))
+    """The spread of the middle ``share`` of each group's values: one sorted value minus another; nulls don't count.
+
+    Values are counted before the shuffle and ranked by their cumulated counts, so no task holds a group's rows.
+    """
+    counted = values.where(F.col("value").isNotNull()).groupBy(by, "value").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(W.partitionBy(by).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = counted.groupBy(by).agg(F.sum("m").alias("n"))
+    hi = F.least(F.col("n"), F.floor((0.5 + share / 2) * F.col("n")) + 1)
+    lo = F.least(F.col("n"), F.ceil((0.5 - share / 2) * F.col("n")) + 1)
+    at = counted.withColumn("upto", upto).join(total, by)
+    spread = F.min(F.when(F.col("upto") >= hi, F.col("value"))) - F.min(F.when(F.col("upto") >= lo, F.col("value")))
+    return at.groupBy(by).agg(F.max("n").cast("int").alias("n"), spread.alias("spread"))
 
 
 def votes(classes: DataFrame, by: str, planes: int, exponent: float = 1.5) -> DataFrame:

@@ -51,7 +51,11 @@ def deepest(tree: DataFrame, known: DataFrame) -> DataFrame:
     ``known`` has target and codes (by rank; null where a neighbour isn't known). Known codes follow one
     child, unknown ones all. Level by level the prefixes reached so far are joined with the tree's nodes, so
     a branch that leaves the tree ends, and its counts at lesser depth don't count where another goes on.
+    The tree and what each level reaches are written once, so that no level is planned again by those after it.
     """
+    from ..sources.store import materialise
+
+    tree = materialise(tree)
     nodes = tree.groupBy("depth", "prefix").agg(F.sum("n").alias("total"))
     depth = int(tree.agg(F.max("depth")).first()[0] or 0)
     parts = nodes.where("depth > 0").select("depth", "prefix", F.regexp_replace("prefix", r"\.?[^.]*$", "").alias("parent"), F.regexp_extract("prefix", r"([^.]*)$", 1).alias("last"))
@@ -60,7 +64,7 @@ def deepest(tree: DataFrame, known: DataFrame) -> DataFrame:
     for d in range(1, depth + 1):
         step = parts.where(F.col("depth") == d).select("parent", "last", F.col("prefix").alias("next"))
         code = F.element_at("codes", d)
-        reached = reached.join(step, reached["prefix"] == step["parent"]).where(code.isNull() | (code == F.col("last"))).select("target", "codes", F.lit(d).alias("depth"), F.col("next").alias("prefix"))
+        reached = materialise(reached.join(step, reached["prefix"] == step["parent"]).where(code.isNull() | (code == F.col("last"))).select("target", "codes", F.lit(d).alias("depth"), F.col("next").alias("prefix")))
         every = every.unionByName(reached)
     top = every.groupBy("target").agg(F.max("depth").alias("depth"))
     return every.join(top, ["target", "depth"]).join(tree, ["depth", "prefix"]).groupBy("target", "depth", "class").agg(F.sum("n").alias("n"))

@@ -210,7 +210,12 @@ def path_dependency(spark, d):
     return g.join(f, "cell", "left").select("cell", F.coalesce("dependency", F.lit(-1)).cast("long").alias("dependency"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+@query(
+    _GATHER.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, d AS (SELECT DISTINCT f.cell, f."to" AS at FROM f WHERE f.ord >= 0),
+l(cell, level) AS (SELECT cell, 0 FROM o WHERE ord >= 0 UNION SELECT d.cell, l.level + 1 FROM l JOIN d ON d.at = l.cell)
+SELECT cell, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY cell"""
+)
 def path_levels(spark, d):
     """Which cells can be simulated at once: levels of the dependency graph."""
     g = _posterior(T.part(spark, d))
@@ -314,18 +319,38 @@ def _scored(spark, d):
     return a.join(g.select("cell", "p_size", "p_brand"), "p_brand").where("target <> cell").select("target", "cell", F.abs(F.col("own") - F.col("p_size")).alias("score"))
 
 
+def _near(spark, d, k: int, largest: bool = False):
+    """The k best of :func:`_scored` by score, then cell, without the pairs in between.
+
+    Of the parts of one brand and size only the first k + 1 can be among the k best of anyone, so each target meets
+    them alone: as many rows as there are sizes, however many parts.
+    """
+    g = T.part(spark, d)
+    first = g.withColumn("nth", F.row_number().over(W.partitionBy("p_brand", "p_size").orderBy("cell"))).where(F.col("nth") <= k + 1).select("cell", "p_size", "p_brand")
+    a = g.where(in_query_set()).select(F.col("cell").alias("target"), F.col("p_size").alias("own"), "p_brand")
+    s = a.join(first, "p_brand").where("target <> cell").select("target", "cell", F.abs(F.col("own") - F.col("p_size")).alias("score"))
+    return P.top_k(s, k, largest=largest)
+
+
+def _others(spark, d):
+    """(target, n): how many other parts have the brand of each part of the query set; counted, not paired."""
+    g = T.part(spark, d)
+    n = g.groupBy("p_brand").agg((F.count("*") - 1).alias("n"))
+    return g.where(in_query_set()).select(F.col("cell").alias("target"), "x", "y", "p_brand").join(n, "p_brand")
+
+
 def _ranked(order: str, k: int = 4) -> str:
     return _SCORED + f"SELECT target, cell, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY {order}) AS INTEGER) AS rank FROM s) WHERE rank <= {k}"
 
 
 @query(_ranked("score DESC, cell"))
 def topk_biggest(spark, d):
-    return P.top_k(_scored(spark, d), 4)
+    return _near(spark, d, 4, largest=True)
 
 
 @query(_ranked("score, cell"))
 def topk_smallest(spark, d):
-    return P.top_k(_scored(spark, d), 4, largest=False)
+    return _near(spark, d, 4)
 
 
 @query(_ranked(f"score, {T.unit('2', 'target', 'cell')}, cell"))
@@ -336,7 +361,7 @@ def topk_random_ties(spark, d):
 @query(f"SELECT target, cell, rank FROM ({_ranked('score, cell', 2)}) WHERE rank = CAST(floor({T.unit('12', 'target')} * 1.2) AS INTEGER) + 1")
 def pick_fractional_k(spark, d):
     """k = 1.2: rank 1 with probability 1 / 1.2, else rank 2."""
-    return P.fractional_k(P.top_k(_scored(spark, d), 2, largest=False), 1.2, C.uniform(12, F.col("target"))).select("target", "cell", "rank")
+    return P.fractional_k(_near(spark, d, 2), 1.2, C.uniform(12, F.col("target"))).select("target", "cell", "rank")
 
 
 _SCAN = _SCORED.rstrip() + f", c AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws(':', '13', target, cell)), cell) - 1 AS scan, count(*) OVER (PARTITION BY target) AS n FROM s)\n"
@@ -356,8 +381,7 @@ def ds_scan_permutation(spark, d):
 
 @query(_SCAN + "SELECT target, least(n, greatest(1, CAST(ceil(n * 0.3) AS BIGINT))) AS scanned FROM c GROUP BY target, n")
 def ds_exploration_bound(spark, d):
-    n = _scored(spark, d).groupBy("target").agg(F.count("*").alias("n"))
-    return n.select("target", P.scan_limit(F.col("n"), 0.3).alias("scanned"))
+    return _others(spark, d).where("n > 0").select("target", P.scan_limit(F.col("n"), 0.3).alias("scanned"))
 
 
 @query(
@@ -397,24 +421,29 @@ def class_draw(spark, d):
 @query(_ranked("score, cell", 6).replace("SELECT target, cell, score, rank FROM", "SELECT target, cell FROM") + f" AND rank = CAST(floor({T.unit('16', 'target')} * 6) AS INTEGER) + 1")
 def candidate_draw(spark, d):
     """One of the six nearest parts, each as likely."""
-    best = P.top_k(_scored(spark, d), 6, largest=False)
+    best = _near(spark, d, 6)
     return best.where(F.col("rank") == F.floor(C.uniform(16, F.col("target")) * 6) + 1).select("target", "cell")
 
 
 @query(_SCORED + "SELECT target, count(*) AS n FROM s JOIN g a ON a.cell = s.target JOIN g b ON b.cell = s.cell WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) > 100 GROUP BY target")
 def verbatim_ban_radius(spark, d):
     """Places within ten cells of the target don't count."""
-    g = T.part(spark, d)
-    s = _scored(spark, d).join(g.select(F.col("cell").alias("target"), F.col("x").alias("ax"), F.col("y").alias("ay")), "target").join(g.select("cell", "x", "y"), "cell")
-    far = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")) > 100
-    return s.where(far).groupBy("target").agg(F.count("*").alias("n"))
+    # all of the brand, less those in the tiles of 10 x 10 cells around the target that are too near
+    tile = lambda c, s=0: F.floor(F.col(c) / 10) + s
+    o = _others(spark, d)
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = o.select("target", "p_brand", F.col("x").alias("ax"), F.col("y").alias("ay"), around.alias("t")).select("target", "p_brand", "ax", "ay", tile("ax", F.col("t.i")).alias("tx"), tile("ay", F.col("t.j")).alias("ty"))
+    b = T.part(spark, d).select("cell", "x", "y", "p_brand", tile("x").alias("tx"), tile("y").alias("ty"))
+    near = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")) <= 100
+    close = a.join(b, ["p_brand", "tx", "ty"]).where(near & (F.col("cell") != F.col("target"))).groupBy("target").agg(F.count("*").alias("m"))
+    return o.join(close, "target", "left").select("target", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).where("n > 0")
 
 
 @query(_SCORED + "SELECT target, count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM g a WHERE a.cell = s.target AND a.cell + 40 = s.cell) GROUP BY target")
 def verbatim_ban(spark, d):
     """The place that would continue the target's own neighbour doesn't count."""
-    banned = T.part(spark, d).select(F.col("cell").alias("target"), (F.col("cell") + 40).alias("cell"))
-    return _scored(spark, d).join(banned, ["target", "cell"], "left_anti").groupBy("target").agg(F.count("*").alias("n"))
+    next_ = T.part(spark, d).select((F.col("cell") - 40).alias("target"), "p_brand", F.lit(1).alias("m")).distinct()
+    return _others(spark, d).join(next_, ["target", "p_brand"], "left").select("target", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).where("n > 0")
 
 
 @query(f"WITH {T.STACK}, p AS (SELECT DISTINCT cell, label FROM g), k AS (SELECT p.cell, p.label, g.ti, row_number() OVER (PARTITION BY p.cell, p.label ORDER BY md5(concat_ws(':', '17', p.cell, g.ti)), g.ti) AS r, count(*) OVER (PARTITION BY p.cell, p.label) AS n FROM p JOIN g ON g.cell = p.cell AND g.label = p.label) SELECT cell, label, ti FROM k WHERE r <= CAST(ceil(n / 4.0) AS BIGINT)")

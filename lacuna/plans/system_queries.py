@@ -333,6 +333,14 @@ def name_sanitise(spark, d):
     return T.read(spark, d, "pages").select("page_id", artifacts.safe_name(F.col("url")).alias("name"))
 
 
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 % 3600000 AS into_hour, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS stamp FROM events")
+def unix_milliseconds(spark, d):
+    """Millisecond stamps as progress messages carry them: to a number, within the hour, and back to text."""
+    ms = C.unix_ms(F.col("ts"))
+    e = T.read(spark, d, "events").select("event_id", ms.alias("ms"))
+    return e.select("event_id", "ms", F.pmod("ms", F.lit(3_600_000)).alias("into_hour"), F.date_format(C.from_unix_ms(F.col("ms")), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("stamp"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def props_parse(spark, d):
     """Key-value metadata of progress messages."""
