@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     codes = classes.select("rep", "code")
     star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     star = star.join(codes.select(F.col("rep").alias("a"), F.col("code").alias("x")), "a").join(codes.select(F.col("rep").alias("b"), F.col("code").alias("y")), "b")
-    near = materialise(star.select("a", "b", "x", "y").mapInArrow(lambda it: _agree(it, least), "a long, b long"), met)
+    near = materialise(star.select("a", "b", "x", "y").mapInArrow(lambda it: _agree(it, least), "a long, b long"), met, 20_000)
     label = F.when(F.col("agrees"), F.col("pivot")).otherwise(F.col("rep"))
     labelled = members.join(near.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("agrees")), ["rep", "pivot"], "left").select(F.col("band").alias("key"), "rep", label.alias("label"))
     payload = ["n_shingles", "code"]
