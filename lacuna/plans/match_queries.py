@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..operators import assess as A
+from ..operators import correlate as K
 from ..operators import events as E
 from ..operators import grid as G
 from ..operators import match as M
@@ -67,6 +68,19 @@ _COMPLETE = "(SELECT target, count(*) AS n FROM ev GROUP BY target) q"
 _SUM = f"SELECT ev.target, pl.cell, round({{0}}, 9) AS score FROM ev JOIN pl USING (rank) JOIN {_COMPLETE} ON q.target = ev.target GROUP BY ev.target, pl.cell, q.n HAVING count(*) = q.n"
 
 
+#: All offsets up to three cells away, weighted by nearness.
+WIDE = [(dx, dy, 7 - abs(dx) - abs(dy)) for dy in range(-3, 4) for dx in range(-3, 4) if dx or dy]
+WIDE_SQL = f"t(rank, dx, dy, w) AS (VALUES {', '.join(str((i + 1, *o)) for i, o in enumerate(WIDE))})"
+
+
+@query(_pairs(T.PART, "p_size", 40).replace(CROSS_SQL, WIDE_SQL) + _top(_SUM.format("CAST(-sum(w * (c0 - e0) * (c0 - e0)) AS DOUBLE)")))
+def qs_score_fft(spark, d):
+    """As pattern_topk with a template of 48 offsets, scored by cross-correlation of tiles in the frequency domain."""
+    g = T.part(spark, d)
+    events = G.patterns(g, WIDE, ["p_size"], T.PART_WIDTH, T.height(g)).where(in_query_set()).select(F.col("cell").alias("target"), "p")
+    return K.correlated(events, g, WIDE, "p_size", 3)
+
+
 @query(_pairs(T.PART, "p_size", 40) + _top(_SUM.format("CAST(-sum(w * (c0 - e0) * (c0 - e0)) AS DOUBLE)")))
 def pattern_topk(spark, d):
     """The three places of the part grid most like each event, by weighted squared differences of size."""

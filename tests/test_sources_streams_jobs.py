@@ -153,3 +153,24 @@ def test_artifacts_and_tables(spark, tmp_path):
     assert artifacts.get(spark, folder, name).count() == 5
     have = spark.createDataFrame([("x",)], "digest string")
     assert [r.digest for r in artifacts.missing(spark.createDataFrame([("x",), ("y",), ("y",)], "digest string"), have).collect()] == ["y"]
+
+
+def test_self_search_barriers_and_json_jobs(spark):
+    import json
+
+    from lacuna.plans import algorithms, jobs
+
+    assert algorithms
+    engine = jobs.Engine(spark)
+    assert [engine.wait(engine.submit("Test", shape=s, radius=2, rounds=10)) for s in ((300,), (40, 30), (12, 14, 13))] == [0, 0, 0]
+    slow = engine.submit("report_probe", mode="error", steps=2, sleep_ms=300)
+    behind = engine.submit("report_probe", after=[], steps=1)
+    assert engine.wait(behind) == 1 and engine.jobs[behind].started >= engine.jobs[slow].ended > 0
+    free = engine.submit_json(json.dumps({"algorithm": "report_probe", "steps": 3}))
+    assert engine.wait(free) == 3
+    for bad in (json.dumps({"algorithm": "report_probe", "warning": "x" * (1 << 20)}), "{"):
+        try:
+            engine.submit_json(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad[:20])
