@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import materialise
+
 #: Spellings that count as equal, applied in this order to lower-case words between single spaces.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"),
@@ -197,6 +199,7 @@ def license_scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, dige
     else:
         more, broad = digests, lambda d: d
     names = table.select("digest", "license").unionByName(more.select("digest", "license")).groupBy("digest").agg(F.min("license").alias("license"))
+    read = materialise(read)  # digests and few lines: both joins below read them, and texts are put in canonical form once
     whole = read.join(broad(names), "digest", "left")
     found = read.select("doc_id", "digest", F.explode("lines").alias("line")).select("doc_id", F.col("digest").alias("whole"), digest(F.col("line")).alias("digest"))
     found = found.join(small(table.select("digest", F.col("license").alias("notice"))), "digest").groupBy("doc_id", "whole").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
