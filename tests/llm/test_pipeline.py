@@ -45,7 +45,7 @@ def test_near_duplicates_leave_one(stages):
 
 
 def test_repeats_are_cut(stages):
-    want = few_words([(r.doc_id, r.text) for r in stages[2].collect()], 200, 50, 400)
+    want = few_words([(r.doc_id, r.text) for r in stages[2].collect()], 200, 51, 400)
     after = {r.doc_id: r for r in stages[3].collect()}
     assert after.keys() == want.keys()
     assert all((r.text or "").replace("�", "") == want[i].replace("�", "") for i, r in after.items())
