@@ -24,12 +24,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that occur again go; n_chars is counted anew.
+    """Passages of over 50 words that occur again go; n_chars is counted anew.
 
     Passages are runs of bytes in strings of 200 bytes that also start elsewhere. 200 and not 400, as in the query
     on its own, since passages of just over 50 words mostly have 250 to 400 bytes; shorter runs below 400 bytes stay.
     """
-    return substring_dedup.remove_repeats(docs, size=200, gram=64, words=50)
+    return substring_dedup.remove_repeats(docs, size=200, gram=64, words=51)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
