@@ -52,7 +52,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
 
     Ranks and running sums go through segments and digest buckets, never through one window per source.
     Null and empty texts: size 0, taken 0. Null sources form one source, the last. Null and repeated
-    doc_ids and repeated rows: each row is a document. Empty table: no rows. Other columns are ignored.
+    doc_ids and repeated rows: each row is a document; rows that tie in their digest are equal and take what equal
+    places take. Very long texts are counted whole. Empty table: no rows. Other columns are ignored.
     """
     k = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), k.alias("k"), words(F.col("text").cast("string")).alias("size")))

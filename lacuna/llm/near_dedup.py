@@ -234,7 +234,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each doc_id; null doc_ids stay.
 
-    Only the ids that go are joined, and those of which several rows stay.
+    Of rows that repeat a kept doc_id any one stays; null, empty and blank texts stay, texts of any length are judged
+    whole, further columns of any name come through, and an empty table stays empty. Only the ids that go are joined, and
+    those of which several rows stay.
     """
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.when(F.col("kept"), 1)).alias("n"), F.count("*").alias("rows"))
     ids = materialise(ids.where("n <> 1 or rows <> 1"), docs.count())
