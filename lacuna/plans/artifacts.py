@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,21 @@ def get(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/tables/{name}")
 
 
+def alias(spark: SparkSession, folder: str, job: str, images: Sequence[str], grids: Sequence[str]) -> list[str]:
+    """Give stored tables a job's own names, ``ti_<job>_<i>`` and ``di_<job>_<i>``, as views: nothing is copied.
+
+    Raises KeyError where a table isn't stored; then no name is given.
+    """
+    wanted = [(f"{kind}_{job}_{i}", n) for kind, names in (("ti", images), ("di", grids)) for i, n in enumerate(names)]
+    if lacking := [n for _, n in wanted if not exists(spark, folder, n)]:
+        raise KeyError(f"no table {lacking[0]!r} is stored")
+    made = []
+    for name, stored in wanted:
+        made.append("".join(c if c.isalnum() and c.isascii() else "_" for c in name))
+        get(spark, folder, stored).createOrReplaceTempView(made[-1])
+    return made
+
+
 def missing(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Digests (digest) that must be sent because the store lacks them."""
     return wanted.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti")

@@ -156,8 +156,6 @@ def test_artifacts_and_tables(spark, tmp_path):
 
 
 def test_self_search_barriers_and_json_jobs(spark):
-    import json
-
     from lacuna.plans import algorithms, jobs
 
     assert algorithms
@@ -174,3 +172,17 @@ def test_self_search_barriers_and_json_jobs(spark):
         except ValueError:
             continue
         raise AssertionError(bad[:20])
+
+
+def test_names_of_a_job_are_views_of_stored_tables(spark, tmp_path):
+    from lacuna.plans import algorithms
+
+    assert algorithms
+    folder, engine = str(tmp_path), jobs.Engine(spark)
+    stored = [artifacts.put(spark.range(n), folder, f"image {n}") for n in (3, 5)]
+    job = engine.submit("qs_prep", folder=folder, ti=stored, di=stored[:1])
+    names = engine.wait(job)
+    assert names == [f"ti_{job}_0", f"ti_{job}_1", f"di_{job}_0"]
+    assert [spark.table(n).count() for n in names] == [3, 5, 3]
+    with pytest.raises(KeyError, match="stored"):
+        engine.wait(engine.submit("qs_prep", folder=folder, ti=["nothing"]))
