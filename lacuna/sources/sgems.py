@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What a variable's name begins with, by kind.
@@ -15,17 +16,20 @@ KINDS = ("Continuous", "Categorical")
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, ...], tuple[int, ...]]:
     """(cell, v: array) of one file, its sizes and the kinds of its variables. NaN is null.
 
-    The three header lines are read first; the cells are numbered by Spark from the lines' order in each
-    partition, without gathering them.
+    The three header lines are the first of the first file. Lines are numbered by their order in each split and the
+    number of lines in the splits before, without gathering them; the file may not change meanwhile.
     """
-    top = [r.value for r in spark.read.text(path).limit(3).collect()]
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("id"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"))
+    top = [r.line for r in lines.orderBy("split", "id").limit(3).collect()]
     sizes = tuple(int(v) for v in top[0].split()[:3])
     kinds = tuple(KINDS.index(re.sub(r"_\d+$", "", n)) for n in top[2].split())
     if len(kinds) != int(top[1]):
         raise ValueError("the number of variables differs from their names")
-    lines = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda r: r[1] >= 3 and r[0].strip() != "")
-    df = spark.createDataFrame(lines.map(lambda r: (r[1] - 3, r[0])), "cell long, line string")
-    numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: F.when(F.lower(x).isin("nan", "-nan"), None).otherwise(x.cast("double")))
+    splits = lines.groupBy("split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("split")) - F.col("n")  # one row per split, some hundred MB of the file
+    splits = splits.select("split", (before - F.col("first") - 3).alias("shift"))
+    df = lines.join(F.broadcast(splits), "split").select((F.col("id") + F.col("shift")).alias("cell"), "line").where("cell >= 0 and line <> ''")
+    numbers = F.transform(F.split("line", r"\s+"), lambda x: F.when(F.lower(x).isin("nan", "-nan"), None).otherwise(x.cast("double")))
     return df.select("cell", numbers.alias("v")), sizes, kinds
 
 

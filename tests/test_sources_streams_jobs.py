@@ -46,6 +46,27 @@ def test_text_grids(spark, tmp_path):
     assert sorted((r.cell, r.v) for r in back.collect()) == rows
 
 
+def test_text_grid_numbers_lines_over_splits(spark, tmp_path):
+    """Whatever the splits of one file and of several, cells count from the third line on; blank lines count, too."""
+    lines = ["50 40 1 1 1 1 0 0 0", "1", "Continuous_0", *(f"{i}.5" if i % 7 else "nan" for i in range(2000))]
+    lines[3 + 11] = " "
+    (tmp_path / "one").write_text("\n".join(lines) + "\n")
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        (tmp_path / "many" / f"part-0000{k}").write_text("\n".join(lines[[0, 20, 1500][k] : [20, 1500, 2003][k]]) + "\n")
+    want = {i: None if i % 7 == 0 else i + 0.5 for i in range(2000) if i != 11}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            for path in ("one", "many"):
+                df = sgems.read(spark, str(tmp_path / path))[0]
+                assert {r.cell: r.v[0] for r in df.collect()} == want and df.count() == 1999
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+
 def test_arrays_as_cells(spark):
     got = {r.cell: (r.x, r.y, r.a, r.b) for r in bgrid.cells_of(spark, grid(), ["a", "b"]).collect()}
     assert got[5] == (1, 1, 10.0, 11.0) and got[6][2] is None and len(got) == 12
