@@ -49,6 +49,16 @@ def halo(blocks: DataFrame, width: int, height: int, margin: int) -> DataFrame:
     return sent.where(seen).join(there, ["tx", "ty"]).select(F.col("tx").alias("bx"), F.col("ty").alias("by"), F.col("rx").alias("x"), F.col("ry").alias("y"), "value")
 
 
+def receive(padded: DataFrame, updates: DataFrame, jobs: int) -> DataFrame:
+    """The cells of ``padded`` (order, further columns) that an update (order, value) reaches, with its value.
+
+    A cell's owner follows from its order. Both sides are dealt by owner and order, so what one job sends is spread
+    over all tasks, too. Several updates of one order give as many rows; :func:`first_writer` leaves one.
+    """
+    mine = padded.withColumn("owner", owner(F.col("order"), jobs))
+    return mine.join(updates.select(owner(F.col("order"), jobs).alias("owner"), "order", "value"), ["owner", "order"])
+
+
 def first_writer(updates: DataFrame, key: str, order: str) -> DataFrame:
     """Of several updates of one cell the earliest counts; later ones are ignored."""
     rest = [c for c in updates.columns if c not in (key, order)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +73,30 @@ def get(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/tables/{name}")
 
 
+def put_text(spark: SparkSession, folder: str, text: str, most: int = 1 << 20) -> str:
+    """Store a text, such as the JSON of a grid of jobs, under its digest, which is returned; equal texts are one file."""
+    raw = text.encode()
+    if len(raw) > most:
+        raise ValueError(f"a text above {most} bytes")
+    name = hashlib.sha256(raw).hexdigest()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target, part = path(f"{folder}/texts/{name}"), path(f"{folder}/texts/.{name}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        out = fs.create(part, True)
+        out.write(bytearray(raw))
+        out.close()
+        if not fs.rename(part, target):  # another writer was first
+            fs.delete(part, False)
+    return name
+
+
+def get_text(spark: SparkSession, folder: str, name: str) -> str:
+    """A text stored by :func:`put_text`."""
+    found = spark.read.format("binaryFile").load(f"{folder}/texts/{name}").select("content").first()
+    return bytes(found.content).decode()
+
+
 def alias(spark: SparkSession, folder: str, job: str, images: Sequence[str], grids: Sequence[str]) -> list[str]:
     """Give stored tables a job's own names, ``ti_<job>_<i>`` and ``di_<job>_<i>``, as views: nothing is copied.
 

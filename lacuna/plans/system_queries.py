@@ -281,6 +281,23 @@ def halo_strips(spark, d):
     return D.halo(b, 10, 10, 2)
 
 
+@query(
+    f"""WITH {T.PART}, b AS (SELECT x // 10 AS bx, y // 10 AS q, x % 10 AS x, y % 10 AS y, cell AS ord FROM g),
+s(sx, sy) AS (SELECT a, c FROM (VALUES (-1), (0), (1)) p(a), (VALUES (-1), (0), (1)) q(c) WHERE a <> 0 OR c <> 0),
+padded AS (SELECT t.bx, t.q, b.x - 10 * s.sx AS x, b.y - 10 * s.sy AS y, b.ord FROM b CROSS JOIN s JOIN (SELECT DISTINCT bx, q FROM b) t ON t.bx = b.bx + s.sx AND t.q = b.q + s.sy
+WHERE b.x - 10 * s.sx BETWEEN -2 AND 11 AND b.y - 10 * s.sy BETWEEN -2 AND 11),
+u AS (SELECT l_partkey - 1 AS ord, arg_min(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT u.ord % 4 AS owner, u.ord AS "order", p.bx, p.q AS "by", p.x, p.y, u.value FROM padded p JOIN u ON p.ord % 4 = u.ord % 4 AND p.ord = u.ord"""
+)
+def halo_update_join(spark, d):
+    """Updates of parts (the first returned line of each) at the cells of the neighbours' margins that wait for them, by owner and order."""
+    g = T.part(spark, d)
+    b = g.select(C.div(F.col("x"), 10).alias("bx"), C.div(F.col("y"), 10).alias("by"), F.pmod(F.col("x"), F.lit(10)).alias("x"), F.pmod(F.col("y"), F.lit(10)).alias("y"), F.col("cell").alias("value"))
+    padded = D.halo(b, 10, 10, 2).withColumnRenamed("value", "order")
+    lines = T.read(spark, d, "lineitem").where("l_returnflag = 'R'").select((F.col("l_partkey") - 1).alias("order"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("at"), F.col("l_quantity").alias("value"))
+    return D.receive(padded, D.first_writer(lines, "order", "at"), 4)
+
+
 @query("SELECT user_id AS cell, arg_min(event_id, event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id")
 def halo_first_writer(spark, d):
     """Updates keyed by cell (user) in order of event: the first write counts."""

@@ -207,3 +207,36 @@ def test_names_of_a_job_are_views_of_stored_tables(spark, tmp_path):
     assert [spark.table(n).count() for n in names] == [3, 5, 3]
     with pytest.raises(KeyError, match="stored"):
         engine.wait(engine.submit("qs_prep", folder=folder, ti=["nothing"]))
+
+
+def test_verbs_of_the_engine(spark, tmp_path):
+    from lacuna.plans import algorithms, jobs
+
+    assert algorithms
+    engine = jobs.Engine(spark, store=f"file://{tmp_path}")
+    name = engine.upload(spark.range(4), "grid 1")
+    assert engine.exists(name) and not engine.exists("none") and engine.download(name).count() == 4
+    text = json.dumps([[101, 102], [103, 104]])
+    stored = engine.upload_json(text)
+    assert stored == engine.upload_json(text) and engine.download_json(stored) == [[101, 102], [103, 104]]
+    assert len(list((tmp_path / "texts").glob("[!.]*"))) == 1
+    for bad in ("{", json.dumps("x" * (1 << 20))):
+        with pytest.raises(ValueError):
+            engine.upload_json(bad)
+    lines = []
+    got = engine.call("report_probe", steps=2, mode="warning", warning="careful", return_meta=True, show_logs=lines.append)
+    assert got.tables == (2,) and got.progress == 100 and got.seconds > 0 and lines == ["step 1 of 2", "step 2 of 2"]
+    assert got.messages["warning"] == ["careful"] and got.messages["progress"] == ["progress=100.0"] and got.messages["error"] == []
+    image = np.arange(36.0).reshape(6, 6, 1)
+    holed = np.where(image % 5 == 0, np.nan, image)
+    values, places, narrowness, step = engine.call("nds", ti=image, di=holed, k=1, n=3).tables
+    assert values.columns == ["seed", "cell", "variable", "value"] and places.count() == 36 and step.where("step is not null").count() == narrowness.where("narrowness is not null").count() == 8
+    slow = engine.submit("report_probe", steps=1, sleep_ms=1500)
+    with pytest.raises(TimeoutError):
+        engine.call("report_probe", after=[slow], timeout=0.2)
+    status = engine.server_status()
+    assert status["ended"] == 2 and status["queued"] + status["running"] == 2 and status["open"] == 1
+    engine.shutdown()
+    assert engine.server_status()["open"] == 0
+    with pytest.raises(RuntimeError, match="store"):
+        jobs.Engine(spark).exists(name)
