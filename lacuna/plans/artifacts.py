@@ -73,6 +73,12 @@ def get(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/tables/{name}")
 
 
+def remove(spark: SparkSession, folder: str, name: str) -> None:
+    """Delete a stored table, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put_text(spark: SparkSession, folder: str, text: str, most: int = 1 << 20) -> str:
     """Store a text, such as the JSON of a grid of jobs, under its digest, which is returned; equal texts are one file."""
     raw = text.encode()
