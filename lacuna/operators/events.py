@@ -67,7 +67,9 @@ def choose_kernel(found: DataFrame, kernels: DataFrame, n: int, seed: int) -> Da
 
     ``found`` has cell, dx, dy of informed neighbours. Ties: the one that finds more, then by hash.
     """
-    hits = found.join(F.broadcast(kernels.select("kernel", "dx", "dy", F.col("rank").alias("at"))), ["dx", "dy"])
+    from ..sources.store import small
+
+    hits = found.join(small(kernels.select("kernel", "dx", "dy", F.col("rank").alias("at"))), ["dx", "dy"])
     nth = F.row_number().over(W.partitionBy("cell", "kernel").orderBy("at"))
     per = hits.withColumn("nth", nth).groupBy("cell", "kernel").agg(F.count("*").alias("n_found"), F.min(F.when(F.col("nth") == n, F.col("at"))).alias("reach"))
     best = F.row_number().over(W.partitionBy("cell").orderBy(F.col("reach").asc_nulls_last(), F.desc("n_found"), C.uniform(seed, F.col("cell"), F.col("kernel")), "kernel"))

@@ -39,8 +39,9 @@ def ordered(offsets: DataFrame, by: str = "l2") -> DataFrame:
 
 def per_category(offsets: DataFrame, categories: DataFrame, support: bool) -> DataFrame:
     """The kernel once for each category (slot), and one slot more for the support of incomplete images."""
+    from ..sources.store import small
+
     slots = categories.select(F.row_number().over(W.orderBy("category")).cast("int").alias("slot"), F.col("category"))
     if support:
         slots = slots.unionByName(slots.agg((F.coalesce(F.max("slot"), F.lit(0)) + 1).cast("int").alias("slot")).withColumn("category", F.lit("support")))
-    every = slots.agg(F.sort_array(F.collect_list(F.struct("slot", "category"))).alias("slots"))
-    return offsets.join(F.broadcast(every)).select("dx", "dy", "w", F.inline("slots"))
+    return slots.join(small(offsets)).select("dx", "dy", "w", "slot", "category")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import small
+
 #: What a variable's name begins with, by kind.
 KINDS = ("Continuous", "Categorical")
 
@@ -28,7 +30,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, ...], tu
     splits = lines.groupBy("split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.orderBy("split")) - F.col("n")  # one row per split, some hundred MB of the file
     splits = splits.select("split", (before - F.col("first") - 3).alias("shift"))
-    df = lines.join(F.broadcast(splits), "split").select((F.col("id") + F.col("shift")).alias("cell"), "line").where("cell >= 0 and line <> ''")
+    df = lines.join(small(splits), "split").select((F.col("id") + F.col("shift")).alias("cell"), "line").where("cell >= 0 and line <> ''")
     numbers = F.transform(F.split("line", r"\s+"), lambda x: F.when(F.lower(x).isin("nan", "-nan"), None).otherwise(x.cast("double")))
     return df.select("cell", numbers.alias("v")), sizes, kinds
 

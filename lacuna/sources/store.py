@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,8 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast in a join where a count finds at most ``most`` rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
