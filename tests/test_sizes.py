@@ -11,6 +11,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["data_event_circular"])
+@pytest.mark.parametrize("name", ["data_event_circular", "data_event_gather"])
 def test_a_grid_is_not_broadcast_to_find_neighbours(spark, name):
     assert "Broadcast" not in plan(catalogue.QUERIES[name](spark, DIR))
