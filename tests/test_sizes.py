@@ -1,7 +1,13 @@
 """What keeps queries within their limits on large tables: plans without large broadcasts, rows that are not made."""
 
+import hashlib
+import math
+
+import numpy as np
 import pytest
 
+from lacuna.functions.digest import Numbers
+from lacuna.operators import scan as S
 from lacuna.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -14,3 +20,38 @@ def plan(df) -> str:
 @pytest.mark.parametrize("name", ["data_event_circular", "data_event_gather"])
 def test_a_grid_is_not_broadcast_to_find_neighbours(spark, name):
     assert "Broadcast" not in plan(catalogue.QUERIES[name](spark, DIR))
+
+
+@pytest.mark.parametrize("name", ["ds_first_accept"])
+def test_pairs_of_a_scan_are_not_shuffled(spark, name):
+    above = plan(catalogue.QUERIES[name](spark, DIR)).split("MapInArrow")
+    assert len(above) == 2 and "Window" not in above[0]
+
+
+def test_digests_equal_md5():
+    numbers = np.array([0, 7, -3, 10, 99999, 123456789012, -(10**17), 2**63 - 1])
+    for prefix in (b"", b"1", b"13:5:", b"13:1234567:", b"13:-99999999999999:"):
+        want = [hashlib.md5(prefix + str(v).encode()).hexdigest() for v in numbers]
+        assert [f"{int(a):016x}{int(b):016x}" for a, b in zip(*Numbers(numbers).md5(prefix), strict=True)] == want
+
+
+def test_scan_equals_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, "ab"[int(i % 7 == 0)] if i else None, None if i % 11 == 0 else int(r.integers(0, 400))) for i in range(300)] + [(900, "alone", 1), (901, "null", None), (902, "null", None)]
+    g = spark.createDataFrame(rows, "cell long, group string, value int")
+    want, chosen = set(), {}
+    for t, group, own in rows:
+        others = [x for x in rows if x[1] == group and x[0] != t] if group is not None else []
+        order = sorted(others, key=lambda x: (hashlib.md5(f"5:{t}:{x[0]}".encode()).hexdigest(), x[0]))
+        want |= {(t, x[0], i) for i, x in enumerate(order)}
+        if order:
+            seen = [(None if own is None or x[2] is None else abs(x[2] - own), i, x[0]) for i, x in enumerate(order[: math.ceil(len(order) * 0.1)])]
+            some = [x for x in seen if x[0] is not None]
+            good = [x for x in some if x[0] <= 3]
+            best = min(good, key=lambda x: x[1]) if good else min(some, default=(None, None, None))
+            chosen[t] = (best[2], best[1], bool(good) if some else None)
+    targets = g.withColumnRenamed("cell", "target")
+    assert {tuple(x) for x in S.permutation(targets, g, 5).collect()} == want
+    got = {x.target: (x.cell, x.scan, x.accepted) for x in S.first_within(targets, g, 5, 3, 0.1).collect()}
+    assert got == chosen
+    assert {a for _, _, a in chosen.values()} == {True, False, None}
