@@ -22,7 +22,7 @@ def test_a_grid_is_not_broadcast_to_find_neighbours(spark, name):
     assert "Broadcast" not in plan(catalogue.QUERIES[name](spark, DIR))
 
 
-@pytest.mark.parametrize("name", ["ds_first_accept"])
+@pytest.mark.parametrize("name", ["ds_first_accept", "ds_scan_permutation"])
 def test_pairs_of_a_scan_are_not_shuffled(spark, name):
     above = plan(catalogue.QUERIES[name](spark, DIR)).split("MapInArrow")
     assert len(above) == 2 and "Window" not in above[0]
