@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lacuna.functions.digest import Numbers
+from lacuna.operators import pick as P
 from lacuna.operators import scan as S
 from lacuna.plans import catalogue
 
@@ -55,3 +56,19 @@ def test_scan_equals_brute_force(spark):
     got = {x.target: (x.cell, x.scan, x.accepted) for x in S.first_within(targets, g, 5, 3, 0.1).collect()}
     assert got == chosen
     assert {a for _, _, a in chosen.values()} == {True, False, None}
+
+
+def test_ties_meet_only_the_places_of_the_values_needed(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, None if i % 50 == 3 else "ab"[i % 2], None if i % 40 == 0 else int(r.integers(0, 30))) for i in range(400)] + [(999, "alone", 5)]
+    g = spark.createDataFrame(rows, "cell long, group string, value int")
+    got = P.nearest_levels(g.where("cell % 50 = 0 or cell = 999").withColumnRenamed("cell", "target"), g, 4).collect()
+    want = set()
+    for t, group, own in rows:
+        if group is None or not (t % 50 == 0 or t == 999):
+            continue
+        gap = {c: math.inf if own is None or v is None else abs(v - own) for c, other, v in rows if other == group and c != t}
+        if gap:
+            fourth = sorted(gap.values())[3]
+            want |= {(t, c, None if d == math.inf else d) for c, d in gap.items() if d <= fourth}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
