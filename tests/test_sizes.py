@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
 
 from lacuna.functions.digest import Numbers
+from lacuna.operators import match as M
 from lacuna.operators import pick as P
 from lacuna.operators import scan as S
 from lacuna.plans import catalogue
@@ -72,3 +74,27 @@ def test_ties_meet_only_the_places_of_the_values_needed(spark):
             fourth = sorted(gap.values())[3]
             want |= {(t, c, None if d == math.inf else d) for c, d in gap.items() if d <= fourth}
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_equal_patterns_of_categories_are_compared_once(spark):
+    @dataclass(frozen=True)
+    class FewPlaces(M.Similarity):
+        """A measure that refuses repeated events and more than two equal places."""
+
+        def __call__(self, event, place):
+            for rows, most in ((event, 1), (place, 2)):
+                if np.unique(rows, axis=0, return_counts=True)[1].max(initial=0) > most:
+                    raise ValueError("equal patterns are compared again and again")
+            return super().__call__(event, place)
+
+    r = np.random.default_rng(5)
+    rows = [(i, [None if x == 4 else float(x) for x in r.integers(0, 5, 3)]) for i in range(600)]
+    p = spark.createDataFrame(rows, "cell long, p array<double>")
+    events = p.where("cell % 5 = 0").selectExpr("cell as target", "p")
+    layout = M.Layout.of([1, 2, 4], ["cat"])
+    got = sorted(tuple(x) for x in M.best_matches(events, p, FewPlaces(layout), 2).collect())
+    want = []
+    for t, e in rows[::5]:
+        scores = [(-sum(w for w, a, b in zip((1, 2, 4), e, q, strict=True) if a is not None and a == b), c) for c, q in rows if all(b is not None for a, b in zip(e, q, strict=True) if a is not None)]
+        want += [(t, i + 1, c, float(-s)) for i, (s, c) in enumerate(sorted(scores)[:2])]
+    assert got == want
