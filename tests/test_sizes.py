@@ -21,12 +21,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["data_event_circular", "data_event_gather"])
-def test_a_grid_is_not_broadcast_to_find_neighbours(spark, name):
+@pytest.mark.parametrize("name", ["data_event_circular", "data_event_gather", "ds_gap_fill_one_shot"])
+def test_a_grid_is_not_broadcast(spark, name):
     assert "Broadcast" not in plan(catalogue.QUERIES[name](spark, DIR))
 
 
-@pytest.mark.parametrize("name", ["ds_first_accept", "ds_scan_permutation"])
+@pytest.mark.parametrize("name", ["ds_first_accept", "ds_scan_permutation", "ds_gap_fill_one_shot"])
 def test_pairs_of_a_scan_are_not_shuffled(spark, name):
     above = plan(catalogue.QUERIES[name](spark, DIR)).split("MapInArrow")
     assert len(above) == 2 and "Window" not in above[0]
