@@ -11,7 +11,9 @@ from lacuna.functions.digest import Numbers
 from lacuna.operators import correlate as K
 from lacuna.operators import match as M
 from lacuna.operators import pick as P
+from lacuna.operators import places as N
 from lacuna.operators import scan as S
+from lacuna.operators import simulate as Q
 from lacuna.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -115,3 +117,44 @@ def test_correlation_without_padding_is_right_inside():
                 there = [(w, v, image[y + dy, x + dx]) for (dy, dx), w, v in zip(offsets, weights, e, strict=True) if not np.isnan(v)]
                 want = -sum(w * (v - c) ** 2 for w, v, c in there) if there else -np.inf
                 assert np.isclose(out[y, x], -np.inf if np.isnan(want) else want)
+
+
+LARGE = np.random.default_rng(7).integers(1, 51, (500, 80, 1)).astype(float)
+
+
+def filled(images, grid, settings, sort_from, monkeypatch):
+    monkeypatch.setattr(Q, "SORT_FROM", sort_from, raising=False)
+    run = Q.METHODS["qs"](Q.Run(images, grid, settings, 3))
+    return run.grid, run.source, run.random.random()
+
+
+def test_a_large_image_is_not_compared_as_a_whole(monkeypatch):
+    def refused(*_):
+        raise AssertionError("every place of the image is compared")
+
+    grid = np.where(np.random.default_rng(8).random((16, 16, 1)) < 0.2, np.nan, LARGE[100:116, 20:36])
+    want = filled([LARGE], grid, Q.Settings(n=5, radius=3), 1 << 60, monkeypatch)
+    monkeypatch.setattr(Q.Run, "mismatch", refused)
+    got = filled([LARGE], grid, Q.Settings(n=5, radius=3), 1 << 15, monkeypatch)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+
+
+@pytest.mark.parametrize("settings", [Q.Settings(n=5, k=2.6, radius=3), Q.Settings(n=3, k=1.5, radius=2, kinds=("num", "cat"), circular=True), Q.Settings(n=4, kinds=("cat", "num"), full=True, power=1.3, kernel=np.random.default_rng(1).random((5, 5)))])
+@pytest.mark.parametrize("share", [0.0, 0.05])
+def test_sorted_places_give_what_all_places_give(settings, share, monkeypatch):
+    r = np.random.default_rng(9)
+    image = np.stack([r.normal(size=(90, 70)) if kind == "num" else r.integers(0, 6, (90, 70)) for kind in settings.kinds], axis=-1).astype(float)
+    grid = np.where(r.random((12, 12, 1)) < 0.4, np.nan, image[20:32, 30:42])
+    image[r.random((90, 70)) < share] = np.nan
+    images = [np.vstack([image, image[::-1]]), image[:60].copy()]
+    want, got = filled(images, grid, settings, 1 << 60, monkeypatch), filled(images, grid, settings, 0, monkeypatch)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+
+
+def test_some_random_numbers_of_many():
+    for n, at in ((10_000, [0, 1, 77, 9_999]), (10_000, []), (5, [1, 4])):
+        a, b = np.random.default_rng(4), np.random.default_rng(4)
+        for r in (a, b):
+            r.integers(9)  # leaves half a number
+        assert (a.random(n)[at] == N.random_at(b, n, np.array(at, int))).all()
+        assert a.bit_generator.state == b.bit_generator.state
