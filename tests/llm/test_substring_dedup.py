@@ -1,11 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lacuna.llm.substring_dedup import anchors, cut_repeats, remove_repeats, repeat_report, repeated
+from lacuna.llm import substring_dedup
+from lacuna.llm.substring_dedup import _repeats, anchors, cut_repeats, remove_repeats, repeat_report, repeated
 
 
 def brute(rows, size):
@@ -134,3 +137,32 @@ def test_only_long_passages_go(spark):
         p = passages[x.doc_id % 8]
         if x.doc_id < 32:
             assert (p in x.text) == (len(p.split()) < 51 and len(p) < 400)
+
+
+def test_a_common_anchor_is_parted_by_what_stands_beside_it(spark, monkeypatch):
+    size, gram = 40, 12
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    common, before, after = text(18), text(30), text(30)
+    rows = [(k, text(60) + common + text(60)) for k in range(40)]
+    rows += [(100 + k, text(20) + before + common + text(50)) for k in range(2)] + [(200 + k, text(50) + common + after + text(20)) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # no string need be told to other units, as no three contexts share a half
+    monkeypatch.setattr(substring_dedup, "_late_differ", lambda *_: pytest.fail("units told each other strings"))
+    want = {(i, n, s, d) for i, _, n, s, d in brute(rows, size) if n}
+    assert {i for i, *_ in want} == {100, 101, 200, 201}
+    assert {(x.id, x.n_removed, x.n_spans, x.kept_sha256) for x in cut_repeats(df, size, gram, 3).collect()} == want
+
+
+def test_a_unit_of_contexts_is_told_in_little_memory():
+    r = random.Random(12)
+    left, gram, near, n = 272, 128, 136, 4096
+    middle = bytes(r.choices(range(97, 123), k=near + gram))
+    rows = [bytes(r.choices(range(97, 123), k=left - near)) + middle + bytes(r.choices(range(97, 123), k=left)) for _ in range(n)]
+    columns = [[1] * n, list(range(n)), [2] * n, [0] * n, [left * 2] * n, rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], ["h", "c", "half", "part", "left", "bytes"])
+    tracemalloc.start()
+    told = sum(len(x.column(3).flatten()) for x in _repeats(400, gram, n)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == n * (near + 1) and peak < 120 << 20
